@@ -83,18 +83,18 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
 
 
 class WordMemo(dict):
-    """word -> slot, filled on first sight; ``work(words)`` computes what each new word needs.
+    """word -> slot, filled on first sight; ``work(words)`` computes what each new word needs, as one or
+    more tables (values of each word one after another, and how many each word has).
 
     Bounded: past ``limit`` words only those seen twice or more stay (at most half of the limit, the
     most frequent ones), so the memory does not follow the corpus and every word stays exact."""
 
-    def __init__(self, work: Callable[[list[bytes]], list[np.ndarray]], limit: int = 400_000):
+    def __init__(self, work: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], limit: int = 400_000):
         super().__init__()
         self.work, self.limit = work, limit
         self.fresh: list[bytes] = []
         self.seen = np.zeros(1 << 16, np.int64)
-        self.at = np.zeros(1, np.int64)
-        self.values = np.zeros(0, np.int32)
+        self.tables: list[Ragged] = []
 
     def __missing__(self, word: bytes) -> int:
         slot = self[word] = len(self)
@@ -102,39 +102,64 @@ class WordMemo(dict):
         return slot
 
     def slots(self, words: list[bytes]) -> np.ndarray:
-        """The slots of the words; afterwards ``at`` and ``values`` hold the work of every slot."""
+        """The slots of the words; afterwards ``tables`` hold the work of every slot."""
         if len(self) > self.limit:
             self._shrink()
         out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.fresh:
             made = self.work(self.fresh)
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            self._append(sizes, np.concatenate(made) if len(made) else self.values[:0])
+            self.tables = self.tables or [Ragged(values) for _, values in made]
+            for t, (sizes, values) in zip(self.tables, made, strict=True):
+                t.append(sizes, values)
             self.fresh = []
         if len(self.seen) < len(self):
             self.seen = np.concatenate([self.seen, np.zeros(len(self), np.int64)])
         self.seen[: len(self)] += np.bincount(out, minlength=len(self))
         return out
 
-    def _append(self, sizes: np.ndarray, values: np.ndarray) -> None:
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-        self.values = np.concatenate([self.values, values.astype(self.values.dtype, copy=False)])
-
     def _shrink(self) -> None:
         words, n = list(self), len(self)
         seen = self.seen[:n]
         keep = np.flatnonzero(seen >= 2)
         if len(keep) > self.limit // 2:
             keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[: self.limit // 2]])
-        sizes = (self.at[1:] - self.at[:-1])[keep]
-        values = gather(self.at, self.values, keep)[0]
         self.clear()
         for slot, k in enumerate(keep.tolist()):
             self[words[k]] = slot
         kept = np.zeros(max(1 << 16, len(keep)), np.int64)
         kept[: len(keep)] = seen[keep] // 2
-        self.seen, self.at, self.values = kept, np.zeros(1, np.int64), self.values[:0]
-        self._append(sizes, values)
+        self.seen = kept
+        for t in self.tables:
+            values, sizes = t.take(keep)
+            t.clear()
+            t.append(sizes, values)
+
+
+class Ragged:
+    """Rows of different lengths, one after another, in arrays that grow by doubling."""
+
+    def __init__(self, like: np.ndarray):
+        self.values = np.zeros((1 << 16, *like.shape[1:]), like.dtype)
+        self.at = np.zeros(1 << 16, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows = self.used = 0
+
+    def append(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        rows, used = self.rows + len(sizes), self.used + len(values)
+        if rows + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(max(len(self.at), rows + 1), np.int64)])
+        if used > len(self.values):
+            more = max(len(self.values) // 2, used - len(self.values))
+            self.values = np.concatenate([self.values, np.zeros((more, *self.values.shape[1:]), self.values.dtype)])
+        self.at[self.rows + 1 : rows + 1] = self.used + np.cumsum(sizes)
+        self.values[self.used : used] = values
+        self.rows, self.used = rows, used
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The concatenated values of the rows, and how many each row gave."""
+        return gather(self.at, self.values, rows)
 
 
 def gather(at: np.ndarray, values: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,3 +169,21 @@ def gather(at: np.ndarray, values: np.ndarray, slots: np.ndarray) -> tuple[np.nd
     total = int(ends[-1]) if len(ends) else 0
     index = np.arange(total, dtype=np.int64) + np.repeat(first - (ends - sizes), sizes)
     return values[index], sizes
+
+
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All words of the texts, and how many each text has."""
+    words: list[bytes] = []
+    sizes = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        mine = text.split()
+        sizes[i] = len(mine)
+        words += mine
+    return words, sizes
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of the given sizes; an empty run sums to 0."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]

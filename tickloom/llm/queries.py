@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat, media, mixing, quality
+from tickloom.llm import bpe, chat, media, mixing, quality, simhash, token_files
 
 QUERIES = {
     "op1_curriculum_mix": mixing.op1_curriculum_mix,
+    "op2_heap_tokens": bpe.op2_heap_tokens,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_simhash_bktree": simhash.op4_simhash_bktree,
     "op7_line_quality": quality.op7_line_quality,
     "op8_media_boxes": media.op8_media_boxes,
+    "op10_token_parquet": token_files.op10_token_parquet,
 }
 
 ORACLES = {
