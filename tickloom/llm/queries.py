@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import bpe, chat, media, mixing, quality, simhash, token_files
+from tickloom.llm import bpe, chat, media, mixing, quality, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_curriculum_mix": mixing.op1_curriculum_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_bktree": simhash.op4_simhash_bktree,
     "op7_line_quality": quality.op7_line_quality,
     "op8_media_boxes": media.op8_media_boxes,
+    "op9_conv_toxicity": toxicity.op9_conv_toxicity,
     "op10_token_parquet": token_files.op10_token_parquet,
 }
 
