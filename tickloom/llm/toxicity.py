@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import string
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -258,10 +259,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        scorer = _scorer(name, shared)
         for batch in batches:
             for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer(raw_texts(part.column(1))), pa.float64())], ["doc_id", "score"])
@@ -292,20 +293,20 @@ class Scorer:
         return self.model.scores(pooled, counts)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
-def _scorer(shared) -> Scorer:
+def _scorer(name: str, shared) -> Scorer:
     """One for each Python worker and model."""
-    if shared._id not in _scorers:
+    if name not in _scorers:
         _scorers.clear()
-        _scorers[shared._id] = Scorer(shared.value)
-    return _scorers[shared._id]
+        _scorers[name] = Scorer(shared.value)
+    return _scorers[name]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score) for every row of docs, by a model of the labels."""
-    return score(docs, train(*training_sample(docs, labels)) if docs.columns else None)
+    return score(docs, train(*training_sample(docs, labels)))
 
 
 def op9_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
