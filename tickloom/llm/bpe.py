@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import WordMemo, raw_texts, ship, slices, split_words, sums, table
+from tickloom.llm.common import WordMemo, find_words, raw_texts, ship, slices, sums, table
 
 #: The lower-case ASCII form of the vocabulary's split pattern (white space never matches).
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -120,9 +120,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 texts = raw_texts(part.column(1))
-                words, sizes = split_words(texts)
+                words = find_words(texts)
                 slots = memo.slots(words)
-                n = sums(memo.tables[0].values[slots], sizes) if words else np.zeros(len(texts), np.int64)
+                n = sums(memo.tables[0].values[slots], words.sizes) if len(slots) else np.zeros(len(texts), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

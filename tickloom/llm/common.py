@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -82,53 +83,181 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
-class WordMemo(dict):
-    """word -> slot, filled on first sight; ``work(words)`` computes what each new word needs, as one or
-    more tables (values of each word one after another, and how many each word has).
+#: Longest word, in bytes, that the memo's table holds as two 64-bit numbers; longer ones go by a dict.
+SHORT = 16
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 
-    Bounded: past ``limit`` words only those seen twice or more stay (at most half of the limit, the
-    most frequent ones), so the memory does not follow the corpus and every word stays exact."""
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: every input bit reaches every output bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Words:
+    """Words of some texts: where each starts in ``data`` and how long it is; ``sizes``: words of each text."""
+
+    data: bytes
+    starts: np.ndarray
+    lengths: np.ndarray
+    sizes: np.ndarray
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.starts[i] + self.lengths[i]]
+
+
+def _joined(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts, a space after each, and SHORT bytes more; the bytes without those; where texts end."""
+    data = b" ".join([*texts, bytes(SHORT)])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return data, np.frombuffer(data, np.uint8)[: len(data) - SHORT], ends
+
+
+def find_words(texts: list[bytes]) -> Words:
+    """The runs between ASCII white space."""
+    data, flat, ends = _joined(texts)
+    blank = np.concatenate([[True], BLANK[flat]])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    starts = edge[::2]
+    return Words(data, starts, edge[1::2] - starts, np.diff(np.searchsorted(starts, ends), prepend=0))
+
+
+def find_units(texts: list[bytes]) -> Words:
+    """What single spaces part, empty units included."""
+    data, flat, ends = _joined(texts)
+    stops = np.flatnonzero(flat == 32)
+    starts = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else stops
+    return Words(data, starts, stops - starts, np.diff(np.searchsorted(stops, ends), prepend=0))
+
+
+class WordMemo:
+    """word -> slot, given on first sight; ``work(words)`` computes what each new word needs, as one or more
+    tables (the values of each word one after another, and how many each word has).
+
+    Words are looked up all at once: an open-addressing table in numpy compares the bytes themselves.
+    Bounded: past ``limit`` words only those seen twice or more stay (at most half of the limit, the most
+    frequent ones), so the memory does not follow the corpus and every word stays exact."""
 
     def __init__(self, work: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], limit: int = 400_000):
-        super().__init__()
         self.work, self.limit = work, limit
-        self.fresh: list[bytes] = []
-        self.seen = np.zeros(1 << 16, np.int64)
         self.tables: list[Ragged] = []
+        self.long: dict[bytes, int] = {}
+        self.n = 0
+        self.keys = np.zeros((1 << 16, 3), np.uint64)
+        self.seen = np.zeros(1 << 16, np.int64)
+        self.table = np.full(1 << (2 * limit).bit_length(), -1, np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        slot = self[word] = len(self)
-        self.fresh.append(word)
-        return slot
+    def __len__(self) -> int:
+        return self.n
 
-    def slots(self, words: list[bytes]) -> np.ndarray:
+    def slots(self, words: Words) -> np.ndarray:
         """The slots of the words; afterwards ``tables`` hold the work of every slot."""
-        if len(self) > self.limit:
+        if self.n > self.limit:
             self._shrink()
-        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.fresh:
-            made = self.work(self.fresh)
+        starts, lengths = words.starts, words.lengths
+        out = np.empty(len(starts), np.int64)
+        short = np.flatnonzero(lengths <= SHORT)
+        at, n = starts[short], lengths[short]
+        eight = np.ndarray(len(words.data) - 7, "<u8", words.data, 0, (1,))
+        keys = np.stack([eight[at] & MASKS[np.minimum(n, 8)], eight[np.minimum(at + 8, len(eight) - 1)] & MASKS[np.clip(n - 8, 0, 8)], n.astype(np.uint64)], 1)
+        found = self._find(keys)
+        fresh: list[int] = []
+        miss = np.flatnonzero(found < 0)
+        if len(miss):
+            k = keys[miss]
+            order = np.lexsort((k[:, 0], k[:, 1], k[:, 2]))
+            k = k[order]
+            first = np.append(True, (k[1:] != k[:-1]).any(1))
+            found[miss[order]] = self.n + np.cumsum(first) - 1
+            self._add(k[first])
+            fresh = short[miss[order[first]]].tolist()
+        out[short] = found
+        for i in np.flatnonzero(lengths > SHORT).tolist():
+            word = words.word(i)
+            slot = self.long.get(word)
+            if slot is None:
+                slot = self.long[word] = self.n
+                self._hold(np.zeros((1, 3), np.uint64))
+                fresh.append(i)
+            out[i] = slot
+        if fresh:
+            made = self.work([words.word(i) for i in fresh])
             self.tables = self.tables or [Ragged(values) for _, values in made]
             for t, (sizes, values) in zip(self.tables, made, strict=True):
                 t.append(sizes, values)
-            self.fresh = []
-        if len(self.seen) < len(self):
-            self.seen = np.concatenate([self.seen, np.zeros(len(self), np.int64)])
-        self.seen[: len(self)] += np.bincount(out, minlength=len(self))
+        self.seen[: self.n] += np.bincount(out, minlength=self.n)
+        return out
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ keys[:, 2] * np.uint64(0x165667B19E3779F9)
+        return (mix64(mixed) & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        at, left, wrap = self._hash(keys), np.arange(len(keys)), len(self.table) - 1
+        while len(left):
+            slot = self.table[at[left]]
+            taken = slot >= 0
+            left, slot = left[taken], slot[taken]
+            same = (self.keys[slot] == keys[left]).all(1)
+            out[left[same]] = slot[same]
+            left = left[~same]
+            at[left] = (at[left] + 1) & wrap
         return out
 
+    def _hold(self, keys: np.ndarray) -> None:
+        if self.n + len(keys) > len(self.keys):
+            more = max(len(self.keys), len(keys))
+            self.keys = np.concatenate([self.keys, np.zeros((more, 3), np.uint64)])
+            self.seen = np.concatenate([self.seen, np.zeros(more, np.int64)])
+        self.keys[self.n : self.n + len(keys)] = keys
+        self.n += len(keys)
+
+    def _add(self, keys: np.ndarray) -> None:
+        """Place distinct new keys; slots follow in order."""
+        first = self.n
+        self._hold(keys)
+        if self.n > len(self.table) * 0.7:
+            self.table = np.full(2 * len(self.table), -1, np.int32)
+            short = np.flatnonzero(self._is_short())
+            self._place(self.keys[short], short)
+        else:
+            self._place(keys, np.arange(first, self.n))
+
+    def _is_short(self) -> np.ndarray:
+        out = np.ones(self.n, bool)
+        out[list(self.long.values())] = False
+        return out
+
+    def _place(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        at, left, wrap = self._hash(keys), np.arange(len(keys)), len(self.table) - 1
+        while len(left):
+            free = left[self.table[at[left]] < 0]
+            cell, pick = np.unique(at[free], return_index=True)
+            self.table[cell] = slots[free[pick]]
+            left = np.setdiff1d(left, free[pick], assume_unique=True)
+            at[left] = (at[left] + 1) & wrap
+
     def _shrink(self) -> None:
-        words, n = list(self), len(self)
-        seen = self.seen[:n]
+        seen = self.seen[: self.n]
         keep = np.flatnonzero(seen >= 2)
         if len(keep) > self.limit // 2:
             keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[: self.limit // 2]])
-        self.clear()
-        for slot, k in enumerate(keep.tolist()):
-            self[words[k]] = slot
-        kept = np.zeros(max(1 << 16, len(keep)), np.int64)
-        kept[: len(keep)] = seen[keep] // 2
-        self.seen = kept
+        slot_of = np.full(self.n, -1, np.int64)
+        slot_of[keep] = np.arange(len(keep))
+        short = np.flatnonzero(self._is_short()[keep])
+        kept = seen[keep] // 2
+        self.keys[: len(keep)] = self.keys[keep]
+        self.seen[:] = 0
+        self.seen[: len(keep)] = kept
+        self.n = len(keep)
+        self.long = {w: int(slot_of[s]) for w, s in self.long.items() if slot_of[s] >= 0}
+        self.table[:] = -1
+        self._place(self.keys[short], short)
         for t in self.tables:
             values, sizes = t.take(keep)
             t.clear()
@@ -171,17 +300,6 @@ def gather(at: np.ndarray, values: np.ndarray, slots: np.ndarray) -> tuple[np.nd
     return values[index], sizes
 
 
-def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """All words of the texts, and how many each text has."""
-    words: list[bytes] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        mine = text.split()
-        sizes[i] = len(mine)
-        words += mine
-    return words, sizes
-
-
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of the given sizes; an empty run sums to 0."""
     upto = np.concatenate([[0], np.cumsum(values)])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Ragged, WordMemo, gather, raw_texts, ship, slices, sums, table
+from tickloom.llm.common import Ragged, WordMemo, find_units, gather, mix64, raw_texts, ship, slices, sums, table
 
 SPACE_MARK = "▁"
 #: Codes from here on stand for characters without a piece.
@@ -39,13 +39,6 @@ RAW = 1 << 16
 M64 = (1 << 64) - 1
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every input bit reaches every output bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class PieceLattice:
     def __init__(self, path: str, theta: float):
         import ahocorasick
@@ -135,12 +128,8 @@ class PieceLattice:
 
     def sample(self, texts: list[bytes], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of the texts, one after another, and how many each text has."""
-        units: list[bytes] = []
-        n_units = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            mine = t.split(b" ")
-            n_units[i] = len(mine)
-            units += mine
+        units = find_units(texts)
+        n_units = units.sizes
         slots = self.memo.slots(units)
         nodes, shares, codes = self.memo.tables
         if self.stamp != (nodes.used, len(self.memo)):
@@ -148,13 +137,13 @@ class PieceLattice:
             self.first = np.cumsum(counts) - counts
             self.reach = np.repeat(np.arange(nodes.used, dtype=np.float64), counts) + shares.values[: shares.used]
             self.stamp = (nodes.used, len(self.memo))
-        place = np.arange(len(units)) - np.repeat(np.cumsum(n_units) - n_units, n_units)
+        place = np.arange(len(slots)) - np.repeat(np.cumsum(n_units) - n_units, n_units)
         key = mix64(np.repeat(seeds, n_units) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         base = nodes.at[slots]
         at = nodes.at[slots + 1] - 1
-        alive = np.arange(len(units))
+        alive = np.arange(len(slots))
         picked: list[tuple[np.ndarray, np.ndarray]] = []
-        n_codes = np.zeros(len(units), np.int64)
+        n_codes = np.zeros(len(slots), np.int64)
         step = 0
         while len(alive):
             edge = self.first[at]

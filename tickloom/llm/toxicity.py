@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordMemo, raw_texts, ship, slices, split_words, table
+from tickloom.llm.common import WordMemo, Words, find_words, raw_texts, ship, slices, table
 
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 8, 16, 1 << 18
 TRAIN_PER_CLASS, EPOCHS, BATCH, CUT = 2000, 12, 32, 0.7
@@ -120,7 +120,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None
     if not (0 < labels.sum() < len(labels)):
         return None
     rng = np.random.default_rng(seed)
-    words, sizes = split_words(texts)
+    split = [t.split() for t in texts]
+    words, sizes = [w for t in split for w in t], np.fromiter(map(len, split), np.int64, len(split))
     names: dict[bytes, int] = {}
     slots = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
     rows, language = word_rows(list(names))
@@ -255,19 +256,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_P
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, text) -> (doc_id, score)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """The columns of docs and _score, by text alone."""
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"))
+        return docs.withColumn("_score", F.lit(0.0))
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(name, shared)
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer(raw_texts(part.column(1))), pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(raw_texts(part.column(at))), pa.float64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    names = [f"c{i}" for i in range(len(docs.columns))] + ["_score"]
+    ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)) + ", _score double"
+    return docs.toDF(*names[:-1]).mapInArrow(run, ddl).toDF(*docs.columns, "_score")
 
 
 class Scorer:
@@ -282,8 +285,10 @@ class Scorer:
         return [(one, self.model.project(rows)), (one, language)]
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        words, sizes = split_words(texts)
-        slots = self.memo.slots([*words, b""])
+        words = find_words(texts)
+        sizes = words.sizes
+        empty = Words(words.data, np.append(words.starts, 0), np.append(words.lengths, 0), sizes)
+        slots = self.memo.slots(empty)
         ids, starts = padded(slots[:-1], sizes, int(slots[-1]))
         pooled = pool(self.memo.tables[0].values, ids, starts)
         owner = np.repeat(np.arange(len(texts)), sizes)
@@ -304,12 +309,18 @@ def _scorer(name: str, shared) -> Scorer:
     return _scorers[name]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, score) for every row of docs, by a model of the labels."""
-    return score(docs, train(*training_sample(docs, labels)))
+def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The columns of docs and _score, by a model of the labels; the labelled texts are those of
+    ``learn_from``, or of docs."""
+    return score(docs, train(*training_sample(docs if learn_from is None else learn_from, labels)))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that score under CUT."""
+    return toxicity(docs, labels).filter(F.col("_score") < CUT).drop("_score")
 
 
 def op9_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    found = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
