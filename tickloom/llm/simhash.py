@@ -59,17 +59,17 @@ def fingerprint(text: bytes, k: int) -> int:
     return int(np.packbits(2 * votes > len(h), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp): the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, k: int, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(text, carried columns) -> (carried columns, fp): the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                fp = pa.array([fingerprint(x, k) for x in raw_texts(part.column(1))], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), fp], ["doc_id", "fp"])
+                fp = pa.array([fingerprint(x, k) for x in raw_texts(part.column(0))], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], fp], [*carry, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("text", *carry).mapInArrow(run, f"{ddl}, fp long")
 
 
 class BKTree:
@@ -219,15 +219,27 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp, component_id)."""
-    marked = stage(fingerprints(docs, k), "simhash")
+def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, text, carried columns) -> (carried columns, fp, root, component_id); root is the smallest
+    fingerprint of the group."""
+    marked = stage(fingerprints(docs, k, carry), "simhash")
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     joined = stage(components(links(nodes, radius)), "simhash-roots")
     roots = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = stage(roots.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "simhash-named")
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = stage(roots.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "simhash-named")
+    return marked.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def keep_first(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each group of near-duplicates: the smallest doc_id's (null ids last). Rows that share
+    that id are told apart by hashes of all their columns; equal rows are one."""
+    keys = {"_m1": F.xxhash64(*docs.columns), "_m2": F.xxhash64(F.lit(1), *docs.columns)}
+    rows = docs.withColumns(keys)
+    found = near_duplicates(rows, k, radius, ("doc_id", "_m1", "_m2"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_m1", "_m2")).alias("f"))
+    first = stage(first.select("f._m1", "f._m2"), "simhash-first")
+    return rows.join(first, ["_m1", "_m2"]).dropDuplicates(["_m1", "_m2"]).select(*docs.columns)
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
