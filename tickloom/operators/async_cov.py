@@ -7,7 +7,7 @@ times are a sequential recurrence and run grouped by (day, pair)."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +82,16 @@ def refresh_sync(ticks: DataFrame, variant: str = "faithful") -> DataFrame:
     before the time (the first one if none is); variant="literature" takes at-or-before."""
     side = "right" if variant == "literature" else "left"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"], kind="stable")
-        series = [(x["t"].to_numpy(), x["lp"].to_numpy()) for x in (pdf[pdf.side == 1], pdf[pdf.side == 2])]
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("t", "ascending"), ("seq", "ascending")])
+        which, t, lp = (rows.column(c).to_numpy() for c in ("side", "t", "lp"))
+        series = [(t[which == k], lp[which == k]) for k in (1, 2)]
         grid = refresh_times(series[0][0], series[1][0])
-        values = [lp[np.maximum(np.searchsorted(t, grid, side) - 1, 0)] if len(grid) else grid for t, lp in series]
-        head = {k: [pdf[k].iloc[0]] * len(grid) for k in PAIR}
-        return pd.DataFrame({**head, "m": np.arange(len(grid)), "t": grid, "lp_i": values[0], "lp_j": values[1]})
+        values = [v[np.maximum(np.searchsorted(clock, grid, side) - 1, 0)] for clock, v in series]
+        head = {k: pa.array([x.as_py()] * len(grid), pa.string()) for k, x in zip(PAIR, key, strict=True)}
+        return pa.table({**head, "m": pa.array(np.arange(len(grid))), "t": grid, "lp_i": values[0], "lp_j": values[1]})
 
-    return pair_ticks(ticks).groupBy(*PAIR).applyInPandas(run, "day string, sym_i string, sym_j string, m long, t double, lp_i double, lp_j double")
+    return pair_ticks(ticks).groupBy(*PAIR).applyInArrow(run, "day string, sym_i string, sym_j string, m long, t double, lp_i double, lp_j double")
 
 
 def _all_pairs(ticks: DataFrame, out: DataFrame, name: str) -> DataFrame:

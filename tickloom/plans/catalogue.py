@@ -45,7 +45,7 @@ def on_daily(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def rnd(expression: str, name: str) -> str:
-    return f"round({expression}, 6) AS {name}"
+    return f"round(CAST({expression} AS DOUBLE), 6) AS {name}"
 
 
 # --- returns and rolling helpers --------------------------------------------------------------------------
@@ -231,7 +231,7 @@ def _two_sided(z: str) -> str:
 
 def _bns_oracle(iv: str, iq: str, theta: float, ratio: bool = False) -> str:
     z = f"CASE WHEN iv > 0 AND rv > 0 AND iq > 0 THEN (rv / iv - 1) / sqrt({theta!r} * iq / (n * iv * iv)) WHEN iv > 0 AND rv > 0 THEN NULL ELSE 0 END" if ratio else f"CASE WHEN {theta!r} * iq > 0 AND iv > 0 THEN (rv - iv) / sqrt({theta!r} * iq / n) ELSE 0 END"
-    return f"WITH {LAGGED}, m AS (SELECT symbol, day, {N} AS n, {SUMS['rrvar']} AS rv, {SUMS[iv]} AS iv, {SUMS[iq]} AS iq FROM l GROUP BY symbol, day), z AS (SELECT *, {z} AS z FROM m) SELECT symbol, day, {rnd('z', 'ztest')}, {rnd(_two_sided('z'), 'pvalue')}, round({normal_quantile(0.975)!r}, 6) AS critical_value, {rnd('iv', 'iv')}, {rnd('iq', 'iq')} FROM z"
+    return f"WITH {LAGGED}, m AS (SELECT symbol, day, {N} AS n, {SUMS['rrvar']} AS rv, {SUMS[iv]} AS iv, {SUMS[iq]} AS iq FROM l GROUP BY symbol, day), z AS (SELECT *, {z} AS z FROM m) SELECT symbol, day, {rnd('z', 'ztest')}, {rnd(_two_sided('z'), 'pvalue')}, round(CAST({normal_quantile(0.975)!r} AS DOUBLE), 6) AS critical_value, {rnd('iv', 'iv')}, {rnd('iq', 'iq')} FROM z"
 
 
 add("bns_linear", on_ticks(jumps.bns), _bns_oracle("rbpvar", "rtpquar", THETA["BV"]))
@@ -239,9 +239,9 @@ add("bns_ratio", on_ticks(lambda t: jumps.bns(t, test_type="ratio")), _bns_oracl
 add("bns_med", on_ticks(lambda t: jumps.bns(t, "rMedRVar", "rMedRQuar")), _bns_oracle("rmedrvar", "rmedrquar", THETA["rMedRVar"]))
 add("bns_min", on_ticks(lambda t: jumps.bns(t, "rMinRVar", "rMinRQuar")), _bns_oracle("rminrvar", "rminrquar", THETA["rMinRVar"]))
 add("bns_rv", on_ticks(lambda t: jumps.bns(t, "RV", "rQuar")), _bns_oracle("rrvar", "rquar", THETA["RV"]))
-add("bns_linear_log", on_ticks(lambda t: jumps.bns(t, log_transform=True)), f"WITH {LAGGED} SELECT symbol, day, 0.0::DOUBLE AS ztest, 1.0::DOUBLE AS pvalue, round({normal_quantile(0.975)!r}, 6) AS critical_value, {rnd(SUMS['rbpvar'], 'iv')}, {rnd(SUMS['rtpquar'], 'iq')} FROM l GROUP BY symbol, day")
+add("bns_linear_log", on_ticks(lambda t: jumps.bns(t, log_transform=True)), f"WITH {LAGGED} SELECT symbol, day, 0.0::DOUBLE AS ztest, 1.0::DOUBLE AS pvalue, round(CAST({normal_quantile(0.975)!r} AS DOUBLE), 6) AS critical_value, {rnd(SUMS['rbpvar'], 'iv')}, {rnd(SUMS['rtpquar'], 'iq')} FROM l GROUP BY symbol, day")
 _AJC, _AJS = mu_p(4) / mu_p(2) ** 2, mu_p(4) ** 2 / mu_p(2) ** 4 - 1
-add("ajjump", on_ticks(jumps.aj), f"WITH {RETURNS}, m AS (SELECT symbol, day, {N} AS n, coalesce(sum(pow(abs(r), 4)), 0) AS a, coalesce(sum(pow(abs(r), 2)), 0) AS b FROM r GROUP BY symbol, day), z AS (SELECT *, CASE WHEN b > 1e-15 THEN a / (b * b) END AS ratio, CASE WHEN b > 1e-15 THEN (a / (b * b) - {_AJC!r}) / sqrt({_AJS!r} / n) ELSE 0 END AS z FROM m) SELECT symbol, day, {rnd('z', 'ztest')}, {rnd(_two_sided('z'), 'pvalue')}, round({normal_quantile(0.975)!r}, 6) AS critical_value, {rnd('ratio', 'ratio')} FROM z")
+add("ajjump", on_ticks(jumps.aj), f"WITH {RETURNS}, m AS (SELECT symbol, day, {N} AS n, coalesce(sum(pow(abs(r), 4)), 0) AS a, coalesce(sum(pow(abs(r), 2)), 0) AS b FROM r GROUP BY symbol, day), z AS (SELECT *, CASE WHEN b > 1e-15 THEN a / (b * b) END AS ratio, CASE WHEN b > 1e-15 THEN (a / (b * b) - {_AJC!r}) / sqrt({_AJS!r} / n) ELSE 0 END AS z FROM m) SELECT symbol, day, {rnd('z', 'ztest')}, {rnd(_two_sided('z'), 'pvalue')}, round(CAST({normal_quantile(0.975)!r} AS DOUBLE), 6) AS critical_value, {rnd('ratio', 'ratio')} FROM z")
 add("ivinference", on_ticks(inference.iv_inference), f"WITH {LAGGED}, m AS (SELECT symbol, day, {N} AS n, {SUMS['rrvar']} AS iv, {SUMS['rtpquar']} AS iq FROM l GROUP BY symbol, day), s AS (SELECT *, CASE WHEN iq > 0 AND n > 0 THEN sqrt(2 * iq / n) ELSE 0 END AS se FROM m) SELECT symbol, day, {rnd('iv', 'iv')}, {rnd('iq', 'iq')}, {rnd('se', 'se')}, {rnd(f'greatest(0, iv - {normal_quantile(0.975)!r} * se)', 'lower')}, {rnd(f'iv + {normal_quantile(0.975)!r} * se', 'upper')} FROM s")
 _SPOT = f"{RETURNS}, q AS (SELECT symbol, day, ts, seq, r FROM r WHERE r IS NOT NULL), s AS (SELECT *, row_number() OVER {W} - 1 AS idx FROM q)"
 _LOCAL = lambda source, keys, order: f"""b AS (SELECT *, abs(r) * abs(lag(r) OVER (PARTITION BY {keys} ORDER BY {order})) AS b, count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
