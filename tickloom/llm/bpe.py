@@ -17,13 +17,12 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import WordMemo, find_words, raw_texts, ship, slices, sums, table
+from tickloom.llm.common import WordMemo, find_words, held, raw_texts, ship, slices, sums, table, tidied
 
 #: The lower-case ASCII form of the vocabulary's split pattern (white space never matches).
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
@@ -106,10 +105,9 @@ class HeapMerger:
         return [(np.ones(len(words), np.int64), np.fromiter(map(self.count, words), np.int64, len(words)))]
 
 
-@lru_cache(1)
 def _memo(path: str) -> WordMemo:
     """One for each Python worker and vocabulary."""
-    return WordMemo(HeapMerger(path).work)
+    return held(("heap", path), lambda: WordMemo(HeapMerger(path).work))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -126,7 +124,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_heap_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

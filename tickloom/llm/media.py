@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import raw_texts, ship, slices, table
+from tickloom.llm.common import raw_texts, ship, slices, table, tidied
 
 #: 64 samples of one byte make a media sample; every 16th is marked as a sync sample; 32 make a chunk.
 BLOCK, SYNC_EVERY, PER_CHUNK, RATE = 64, 16, 32, 8000
@@ -154,7 +154,7 @@ def to_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 PROBED = "codec string, timescale long, duration long, n_samples long, keyframes array<struct<start:long,length:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -196,7 +196,7 @@ def probe_media(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["doc_id", "n_bytes", *names])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, {PROBED}")
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), f"doc_id {kind}, n_bytes long, {PROBED}")
 
 
 def op8_media_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

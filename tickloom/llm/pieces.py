@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Ragged, WordMemo, find_units, gather, mix64, raw_texts, ship, slices, sums, table
+from tickloom.llm.common import Ragged, WordMemo, find_units, gather, held, mix64, raw_texts, ship, slices, sums, table, tidied
 
 SPACE_MARK = "▁"
 #: Codes from here on stand for characters without a piece.
 RAW = 1 << 16
+#: Sharpness of the piece weights; units whose lattices are built at a time.
+THETA, UNITS = 0.5, 8192
 M64 = (1 << 64) - 1
 
 
@@ -68,8 +69,7 @@ class PieceLattice:
         self.spelling.append(np.fromiter(map(len, spelled), np.int64, n), np.frombuffer(b"".join(spelled), np.uint8))
         self.raw_codes: dict[str, int] = {}
         self.raw_ids = Ragged(np.zeros(0, np.int32))
-        self.memo = WordMemo(self.forward, limit=120_000)
-        self.stamp = (-1, -1)
+        self.memo = WordMemo(self.work, limit=150_000)
 
     def raw_code(self, char: str) -> int:
         code = self.raw_codes.get(char)
@@ -79,6 +79,10 @@ class PieceLattice:
             self.raw_ids.append(np.array([len(ids)]), ids)
         return code
 
+    def work(self, units: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts = [self.forward(units[at : at + UNITS]) for at in range(0, len(units), UNITS)]
+        return [tuple(np.concatenate(x) for x in zip(*same)) for same in zip(*parts)]
+
     def forward(self, units: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per unit: the edges into each node, then over the edges in order of nodes the running share
         of the node's weight, and code << 8 | characters."""
@@ -124,7 +128,7 @@ class PieceLattice:
         running = upto - base
         running[last] = 1.0
         edges = sums(counts, sizes)
-        return [(sizes, counts), (edges, np.minimum(running, 1.0)), (edges, code << 8 | span)]
+        return [(sizes, counts.astype(np.int32)), (edges, np.minimum(running, 1.0).astype(np.float32)), (edges, (code << 8 | span).astype(np.int32))]
 
     def sample(self, texts: list[bytes], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled ids of the texts, one after another, and how many each text has."""
@@ -132,11 +136,8 @@ class PieceLattice:
         n_units = units.sizes
         slots = self.memo.slots(units)
         nodes, shares, codes = self.memo.tables
-        if self.stamp != (nodes.used, len(self.memo)):
-            counts = nodes.values[: nodes.used]
-            self.first = np.cumsum(counts) - counts
-            self.reach = np.repeat(np.arange(nodes.used, dtype=np.float64), counts) + shares.values[: shares.used]
-            self.stamp = (nodes.used, len(self.memo))
+        counts = nodes.values[: nodes.used]
+        first_edge = np.cumsum(counts) - counts
         place = np.arange(len(slots)) - np.repeat(np.cumsum(n_units) - n_units, n_units)
         key = mix64(np.repeat(seeds, n_units) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         base = nodes.at[slots]
@@ -146,11 +147,15 @@ class PieceLattice:
         n_codes = np.zeros(len(slots), np.int64)
         step = 0
         while len(alive):
-            edge = self.first[at]
-            choice = np.flatnonzero(nodes.values[at] > 1)
-            u = (mix64(key[alive[choice]] + np.uint64(step * 0xD1B54A32D192ED03 & M64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            drawn = np.searchsorted(self.reach, at[choice] + u, side="right")
-            edge[choice] = np.minimum(drawn, edge[choice] + nodes.values[at[choice]] - 1)
+            edge = first_edge[at]
+            open_ = np.flatnonzero(counts[at] > 1)
+            u = (mix64(key[alive[open_]] + np.uint64(step * 0xD1B54A32D192ED03 & M64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+            e = edge[open_]
+            on = np.arange(len(open_))
+            while len(on):  # a node has few edges, and the last one's running share is 1
+                on = on[shares.values[e[on]] <= u[on]]
+                e[on] += 1
+            edge[open_] = e
             got = codes.values[edge]
             picked.append((alive, got >> 8))
             n_codes[alive] += 1
@@ -181,13 +186,12 @@ class PieceLattice:
         return [flat[a + 1 : b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-@lru_cache(1)
-def _lattice(path: str, theta: float) -> PieceLattice:
+def _lattice(path: str, theta: float = THETA) -> PieceLattice:
     """One for each Python worker, vocabulary and sharpness."""
-    return PieceLattice(path, theta)
+    return held(("pieces", path, theta), lambda: PieceLattice(path, theta))
 
 
-def encode_pieces(docs: DataFrame, path: str, theta: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str, theta: float = THETA, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text) -> (doc_id, carried columns, ids): one sampled segmentation, seeded by doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,14 +207,14 @@ def encode_pieces(docs: DataFrame, path: str, theta: float = 0.5, carry: tuple[s
     names = [f"c{i}" for i in range(len(kept))]
     ddl = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, kept))
     rows = docs.select("text", F.xxhash64("doc_id").alias("_seed"), *kept)
-    return rows.toDF("text", "_seed", *names).mapInArrow(run, f"{ddl}, ids array<int>").toDF(*kept, "ids")
+    return rows.toDF("text", "_seed", *names).mapInArrow(tidied(run), f"{ddl}, ids array<int>").toDF(*kept, "ids")
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) -> (doc_id, n_pieces, pieces_crc32, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(path, 0.5)
+        lattice = _lattice(path)
         for batch in batches:
             for part in slices(batch, 256):
                 lists = part.column(1)
@@ -223,7 +227,7 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_pieces", "pieces_crc32", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces_crc32 long, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {kind}, n_pieces long, pieces_crc32 long, decoded string")
 
 
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

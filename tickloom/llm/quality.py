@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.common import raw_texts, ship, slices, table
+from tickloom.llm.common import raw_texts, ship, slices, table, tidied
 
 SPACE, SYMBOLS, MARKS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b".,;:!?"
 #: Phrases of notices rather than prose; a line that has one is boilerplate if it is short.
@@ -133,7 +133,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_share double, clean_text string"
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), ddl)
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import raw_texts, ship, slices, stage, table, unstage
+from tickloom.llm.common import raw_texts, ship, slices, stage, table, tidied, unstage
 
 SEED = 42
 #: Most fingerprints of one tree.
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, k: int, carry: tuple[str, ...] = ("doc_id",))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], fp], [*carry, "fp"])
 
     ddl = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select("text", *carry).mapInArrow(run, f"{ddl}, fp long")
+    return docs.select("text", *carry).mapInArrow(tidied(run), f"{ddl}, fp long")
 
 
 class BKTree:
@@ -169,7 +169,7 @@ def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
             yield done(held)
 
     sorted_small = small.select("pair", "key", "fp").repartition("pair", "key").sortWithinPartitions("pair", "key")
-    found = sorted_small.mapInArrow(run_small, "a long, b long")
+    found = sorted_small.mapInArrow(tidied(run_small), "a long, b long")
 
     # Large shards: fingerprints are dealt into blocks; every block of queries meets every later tree.
     big = keyed.join(large, ["pair", "key"]).withColumn("parts", F.ceil(F.col("n") / F.lit(block // 2)).cast("long"))

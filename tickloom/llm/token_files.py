@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordMemo, find_words, raw_texts, ship, slices, stage, sums, table
+from tickloom.llm.common import WordMemo, find_words, held, raw_texts, ship, slices, stage, sums, table, tidied
 
 END_ID = 1
 #: Words that the library gets at a time.
@@ -63,11 +62,10 @@ class LibraryEncoder:
         return [(np.concatenate(sizes), np.concatenate(values))]
 
 
-@lru_cache(1)
 def _memo(path: str) -> WordMemo:
     """One for each Python worker and vocabulary: the library encodes each word once, since no token of
     this vocabulary spans white space."""
-    return WordMemo(LibraryEncoder(path).work, limit=1_000_000)
+    return held(("library", path), lambda: WordMemo(LibraryEncoder(path).work, limit=1_000_000))
 
 
 def encode(texts: list[bytes], memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +95,7 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text", tie.alias("_tie")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
-    encoded = ordered.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part long, place long, n_tokens long, ids array<int>")
+    encoded = ordered.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, part long, place long, n_tokens long, ids array<int>")
     return stage(encoded, "tokens", **LAYOUT)
 
 
@@ -126,7 +124,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crc, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "part", "place", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, part long, place long, n_tokens long, ids_crc32 long")
+    return tokens.select("doc_id", "part", "place", "n_tokens", "ids").mapInArrow(tidied(run), f"doc_id {kind}, part long, place long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordMemo, Words, find_words, raw_texts, ship, slices, table
+from tickloom.llm.common import WordMemo, Words, find_words, held, raw_texts, ship, slices, table, tidied
 
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 8, 16, 1 << 18
 TRAIN_PER_CLASS, EPOCHS, BATCH, CUT = 2000, 12, 32, 0.7
@@ -120,15 +120,12 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None
     if not (0 < labels.sum() < len(labels)):
         return None
     rng = np.random.default_rng(seed)
-    split = [t.split() for t in texts]
-    words, sizes = [w for t in split for w in t], np.fromiter(map(len, split), np.int64, len(split))
     names: dict[bytes, int] = {}
-    slots = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
+    docs = [np.array([names.setdefault(w, len(names)) for w in t.split()], np.int64) for t in texts]
+    sizes = np.fromiter(map(len, docs), np.int64, len(docs))
     rows, language = word_rows(list(names))
     rows, language = np.vstack([rows, np.zeros((1, 3), np.int64)]), np.append(language, -1)
     blank = len(names)
-    ends = np.cumsum(sizes)
-    docs = [slots[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
     calibrate = np.arange(len(texts)) % 4 == 3 if len(texts) >= 40 else np.zeros(len(texts), bool)
     if not (0 < labels[~calibrate].sum() < (~calibrate).sum()):
         calibrate[:] = False
@@ -270,7 +267,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     names = [f"c{i}" for i in range(len(docs.columns))] + ["_score"]
     ddl = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)) + ", _score double"
-    return docs.toDF(*names[:-1]).mapInArrow(run, ddl).toDF(*docs.columns, "_score")
+    return docs.toDF(*names[:-1]).mapInArrow(tidied(run), ddl).toDF(*docs.columns, "_score")
 
 
 class Scorer:
@@ -298,15 +295,9 @@ class Scorer:
         return self.model.scores(pooled, counts)
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(name: str, shared) -> Scorer:
     """One for each Python worker and model."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(shared.value)
-    return _scorers[name]
+    return held(("toxicity", name), lambda: Scorer(shared.value))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
