@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, k: int, carry: tuple[str, ...] = ("doc_id",))
 
 
 class BKTree:
-    """Integer nodes; the children of a node are keyed by their Hamming distance to it."""
+    """Nodes that are unsigned integers; the children of a node are keyed by their Hamming distance to it."""
 
     def __init__(self, values: list[int]):
         self.values, self.children = values, [{} for _ in values]
@@ -139,19 +139,19 @@ def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
         held = None
 
         def done(rows: tuple) -> pa.RecordBatch:
-            pair, key, fp = rows
+            pair, key, fp = rows[0], rows[1], rows[2].view(np.uint64)
             cut = np.flatnonzero((np.diff(pair) != 0) | (np.diff(key) != 0)) + 1
             first, last = np.append(0, cut), np.append(cut, len(fp))
             pick = np.flatnonzero(last - first > 1)
             found = []
             for a, b in zip(first[pick].tolist(), last[pick].tolist()):
-                values = fp[a:b].tolist()
+                values = fp[a:b].tolist()  # unsigned: bit_count() of a negative number is that of its absolute value
                 if b - a == 2:
                     if (values[0] ^ values[1]).bit_count() <= radius:
                         found.append((values[0], values[1]))
                 else:
                     found += forest(values, values, radius)
-            pairs = np.array(found, np.int64).reshape(-1, 2)
+            pairs = np.array(found, np.uint64).view(np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -178,8 +178,8 @@ def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     as_query = big.select("pair", "key", F.col("mine").alias("q"), F.explode(F.sequence(F.col("mine"), F.col("parts") - 1)).alias("t"), "fp", F.lit(False).alias("tree"))
 
     def run_large(keys: tuple, rows: pa.Table) -> pa.Table:
-        fp, tree = rows.column("fp").to_numpy(), rows.column("tree").to_numpy()
-        pairs = np.array(forest(fp[tree].tolist(), fp[~tree].tolist(), radius), np.int64).reshape(-1, 2)
+        fp, tree = rows.column("fp").to_numpy().view(np.uint64), rows.column("tree").to_numpy()
+        pairs = np.array(forest(fp[tree].tolist(), fp[~tree].tolist(), radius), np.uint64).view(np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     met = as_tree.unionByName(as_query).groupBy("pair", "key", "q", "t").applyInArrow(run_large, "a long, b long")
@@ -234,6 +234,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, carry: tuple[s
 def keep_first(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
     """One row of each group of near-duplicates: the smallest doc_id's (null ids last). Rows that share
     that id are told apart by hashes of all their columns; equal rows are one."""
+    docs = docs.drop("_m1", "_m2")
     keys = {"_m1": F.xxhash64(*docs.columns), "_m2": F.xxhash64(F.lit(1), *docs.columns)}
     rows = docs.withColumns(keys)
     found = near_duplicates(rows, k, radius, ("doc_id", "_m1", "_m2"))
