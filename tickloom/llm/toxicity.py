@@ -100,14 +100,23 @@ def padded(slots: np.ndarray, sizes: np.ndarray, blank: int) -> tuple[np.ndarray
     return out, ends - sizes + PAD * np.arange(len(sizes))
 
 
+def shut(found: np.ndarray, starts: np.ndarray, first: int = 0) -> None:
+    """Take out the windows that would reach from a text's blanks into the next text; ``found`` begins with
+    the window at row ``first``."""
+    for back in range(1, PAD):
+        at = starts[1:] - back - first
+        found[at[(at >= 0) & (at < len(found))]] = -np.inf
+
+
 def pool(table_of: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each filter's maximum over every text, a bounded chunk of words at a time. Windows that would
-    reach into the next text start on its blanks only, after a whole window of blanks."""
+    """Each filter's maximum over every text, a bounded chunk of words at a time. A text's last window is
+    all blanks."""
     out = np.full((len(starts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
     usable = len(ids) - PAD + 1
     for a in range(0, usable, CHUNK):
         b = min(a + CHUNK, usable)
         found = responses(table_of[ids[a : b + PAD - 1]])
+        shut(found, starts, a)
         first = int(np.searchsorted(starts, a, "right")) - 1
         last = int(np.searchsorted(starts, b, "left"))
         at = np.maximum(starts[first:last] - a, 0)
@@ -155,6 +164,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model | None
             ids, starts = padded(np.concatenate([docs[i] for i in pick]), sizes[pick], blank)
             x = emb[rows[ids]].sum(1)
             found = responses(x @ par["filters"])
+            shut(found, starts)
             best = np.maximum.reduceat(found, starts, axis=0)
             hidden = np.maximum(best + par["bias"], 0)
             y = labels[pick]
@@ -253,7 +263,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_P
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of docs and _score, by text alone."""
+    """The columns of docs and _score (replaced where docs has one), by text alone."""
+    docs = docs.drop("_score")
     if model is None:
         return docs.withColumn("_score", F.lit(0.0))
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
