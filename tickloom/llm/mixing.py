@@ -10,8 +10,8 @@ Everything is DataFrame work. A source may hold a third of all rows, so running
 levels: sums per (source, hash bucket), then within a bucket; no task sees a whole source.
 
 Edge cases: a null source is a source of its own, last in order; a null text has size 0; repeated rows
-are taken on their own; an empty table gives an empty result; columns with clashing names are dropped or
-kept by the caller (the operator uses names that begin with ``_mix``)."""
+are taken on their own; an empty table gives an empty result; columns whose names begin with ``_mix`` are
+the operator's own and are dropped from its input."""
 
 from __future__ import annotations
 
@@ -75,6 +75,7 @@ def plan_mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, ma
 
     whole=False cuts a source's last document at the target, so that taken words equal the target
     rounded down; whole=True takes a document if its middle lies below the target."""
+    docs = docs.select(*[c for c in docs.columns if not c.startswith("_mix")])
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.withColumn("_mix_size", size).withColumn("_mix_key", key).withColumn("_mix_bucket", F.substring("_mix_key", 1, BUCKET_DIGITS))
     buckets = stage(rows.groupBy(F.col("source").alias("_mix_source"), "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_words")), "mix-buckets")
