@@ -213,6 +213,15 @@ def test_one_return_has_no_local_test(spark):
     assert [x.critical_value for x in jumps.intraday(make_ticks(spark, {"a": [1, 2]})).collect()] == [None]
 
 
+def test_returns_as_input(spark):
+    p = prices_of(30)
+    rows = [("a", "2024-01-01", START + timedelta(hours=i), i, float(r)) for i, r in enumerate(np.diff(np.log(p)))]
+    returns = spark.createDataFrame(rows, "symbol string, day string, ts timestamp_ntz, seq long, r double")
+    ticks = make_ticks(spark, {"a": p})
+    for f in (lambda t: realized.realized(t, list(realized.MEASURES)), lambda t: noise.realized_kernel(t, "qs", 3), realized.multipower, jumps.aj, noise.modulated):
+        assert list(one(f(returns)))[2:] == pytest.approx(list(one(f(ticks)))[2:])
+
+
 def test_spot_windows(spark):
     p = prices_of(30)
     r = np.diff(np.log(p))

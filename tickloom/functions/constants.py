@@ -44,6 +44,12 @@ def gfunction(x: float) -> float:
     return min(x, 1 - x)
 
 
+def psi_constants(kn: int) -> tuple[float, float]:
+    """Scaled sums of the squared steps and of the squares of g over j / kn, j = 0 .. kn."""
+    g = [gfunction(j / kn) for j in range(kn + 1)]
+    return kn * sum((b - a) ** 2 for a, b in zip(g, g[1:])), sum(x * x for x in g[:-1]) / kn
+
+
 def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 

@@ -16,7 +16,10 @@ def series(*keys: str) -> WindowSpec:
 
 
 def log_returns(ticks: DataFrame) -> DataFrame:
-    """Adds r; a series' first row has none."""
+    """Adds r; a series' first row has none. A table that has a column r already holds returns and stays
+    as it is, so every operator on ticks takes returns (symbol, day, ts, seq, r) as well."""
+    if "r" in ticks.columns:
+        return ticks
     return ticks.withColumn("r", F.ln(F.col("price") / F.lag("price").over(series())))
 
 

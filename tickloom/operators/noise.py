@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.constants import kernel_weight
+from tickloom.functions.constants import gfunction, kernel_weight
 from tickloom.functions.returns import KEYS, log_returns, series
 
 
@@ -91,6 +91,17 @@ def field(structs: str, name: str) -> Column:
     return F.transform(structs, lambda x: x[name])
 
 
+def pre_average(ticks: DataFrame, kn: int) -> DataFrame:
+    """(symbol, day, idx, pre_averaged): weighted means of kn adjacent returns, for a kn that is known
+    beforehand; lead columns, no arrays."""
+    weights = [gfunction(j / kn) for j in range(kn)]
+    rows = log_returns(ticks).filter("r IS NOT NULL")
+    w = series()
+    ahead = sum((F.lead("r", j).over(w) if j else F.col("r")) * g for j, g in enumerate(weights))
+    rows = rows.withColumns({"idx": F.row_number().over(w) - 1, "pre_averaged": ahead / sum(weights), "_last": F.lead("r", kn - 1).over(w) if kn > 1 else F.col("r")})
+    return rows.filter("_last IS NOT NULL").select(*KEYS, "idx", "pre_averaged")
+
+
 def ordered_returns(rows: DataFrame, keys: tuple[str, ...], *names: str) -> DataFrame:
     """keys and, for each name, its values in order as an array."""
     out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *names))).alias("_s"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.constants import THETA, TRIPOWER, kernel_weight, mu_p, normal_quantile
+from tickloom.functions.constants import KERNEL_NAMES, THETA, TRIPOWER, kernel_weight, mu_p, normal_quantile, psi_constants
 from tickloom.functions.returns import KEYS, lags, log_returns, median3, min2, product, series, simple_returns
 from tickloom.functions.stats import normal_tail_sql, t_two_sided
 from tickloom.operators import async_cov, inference, jumps, liquidity, matrix, models, noise, panel, realized, spot
@@ -155,6 +155,29 @@ p AS (SELECT symbol, day, any_value(rr) AS rr, any_value(n) AS n, any_value(kn)
 a AS (SELECT q.symbol, q.day, q.i, sum(z.r * g.g) / any_value(p.gs) AS pa FROM q JOIN p USING (symbol, day) JOIN g USING (symbol, day) JOIN q AS z ON z.symbol = q.symbol AND z.day = q.day AND z.i = q.i + g.j WHERE q.i + p.kn <= p.n GROUP BY q.symbol, q.day, q.i)"""
 add("rmrvar", on_ticks(noise.modulated), f"WITH {_PRE} SELECT p.symbol, p.day, {rnd('coalesce((SELECT sum(pa * pa) FROM a WHERE a.symbol = p.symbol AND a.day = p.day), 0) / (sqrt(n) * 0.8 * psi2) - psi1 / (2 * 0.64 * psi2 * n) * rr', 'rmrvar')} FROM p")
 
+_G6 = [min(j / 6, 1 - j / 6) for j in range(6)]
+_AHEAD = " + ".join(f"lead(r, {j}) OVER w * {g!r}::DOUBLE" for j, g in enumerate(_G6))
+add("pre_average_returns", on_ticks(lambda t: noise.pre_average(t, 6)), f"WITH {RETURNS}, q AS (SELECT * FROM r WHERE r IS NOT NULL), a AS (SELECT symbol, day, row_number() OVER w - 1 AS idx, ({_AHEAD}) / {sum(_G6)!r}::DOUBLE AS v FROM q WINDOW w AS {W}) SELECT symbol, day, CAST(idx AS INTEGER) AS idx, {rnd('v', 'pre_averaged')} FROM a WHERE v IS NOT NULL")
+
+
+def _kernel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, i / 17, kernel_weight(i / 17, k)) for k in KERNEL_NAMES for i in range(18)]
+    return spark.createDataFrame(rows, "kernel string, x double, weight double")
+
+
+_PZ = "CASE WHEN x < 0.5 THEN 1 - 6 * x * x + 6 * x * x * x ELSE 2 * pow(1 - x, 3) END"
+_KSQL = {"bartlett": "1 - x", "parzen": _PZ, "parzenpoly": _PZ, "tukey": "(1 + cos(pi() * x)) / 2", "tukeypoly": "(1 + cos(pi() * x)) / 2", "cubic": "1 - 3 * x * x + 2 * x * x * x", "qs": "CASE WHEN x = 0 THEN 1 ELSE 25 / (12 * pi() * pi() * x * x) * (sin(1.2 * pi() * x) / (1.2 * pi() * x) - cos(1.2 * pi() * x)) END", "order5": "1 - 10 * pow(x, 2) + 15 * pow(x, 3) - 6 * pow(x, 4)", "order6": "1 - 15 * pow(x, 2) + 35 * pow(x, 3) - 21 * pow(x, 4)", "order7": "1 - 21 * pow(x, 2) + 70 * pow(x, 3) - 84 * pow(x, 4) + 35 * pow(x, 5)", "order8": "1 - 28 * pow(x, 2) + 126 * pow(x, 3) - 210 * pow(x, 4) + 120 * pow(x, 5)", "flattop": "CASE WHEN x < 0.1 THEN 1 ELSE (1 - x) / 0.9 END"}
+add("kernel_weights", _kernel_table, "WITH g AS (SELECT CAST(i AS DOUBLE) / 17 AS x FROM (SELECT unnest(range(18)) AS i)) " + " UNION ALL ".join(f"SELECT '{k}' AS kernel, {rnd('x', 'x')}, {rnd(v, 'weight')} FROM g" for k, v in _KSQL.items()))
+
+
+def _psi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(kn, *psi_constants(kn)) for kn in range(2, 41)], "kn long, psi1 double, psi2 double")
+
+
+add("psi_constants", _psi_table, f"""WITH k AS (SELECT unnest(range(2, 41)) AS kn), j AS (SELECT kn, unnest(range(kn)) AS j FROM k), g AS (SELECT kn, least(j::DOUBLE / kn, 1 - j::DOUBLE / kn) AS a, least((j + 1)::DOUBLE / kn, 1 - (j + 1)::DOUBLE / kn) AS b FROM j)
+SELECT kn, {rnd('kn * sum(pow(b - a, 2))', 'psi1')}, {rnd('sum(a * a) / kn', 'psi2')} FROM g GROUP BY kn""")
+add("mu_p", lambda s, d: s.createDataFrame([(p / 4, mu_p(p / 4)) for p in range(1, 33)], "p double, mu double"), f"WITH g AS (SELECT CAST(i AS DOUBLE) / 4 AS p FROM (SELECT unnest(range(1, 33)) AS i)) SELECT {rnd('p', 'p')}, {rnd('pow(2, p / 2) * gamma((p + 1) / 2) / sqrt(pi())', 'mu')} FROM g")
+
 # --- covariances of an aligned panel ----------------------------------------------------------------------
 
 PANEL = f"""{RETURNS}, o AS (SELECT symbol, day, r, row_number() OVER {W} - 1 AS idx FROM r), c AS (SELECT day, min(n) AS n FROM (SELECT symbol, day, count(*) AS n FROM o WHERE idx > 0 GROUP BY symbol, day) GROUP BY day),
