@@ -191,23 +191,39 @@ def _lattice(path: str, theta: float = THETA) -> PieceLattice:
     return held(("pieces", path, theta), lambda: PieceLattice(path, theta))
 
 
+def _encoded(lattice: PieceLattice, texts: pa.Array, seeds: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return lattice.sample(raw_texts(texts), seeds.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _decoded(lattice: PieceLattice, ids: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
+    """n_pieces, pieces_crc32 and the decoded texts."""
+    words = memoryview(np.ascontiguousarray(ids).astype("<u4")).cast("B")
+    bounds = (np.append(0, np.cumsum(sizes)) * 4).tolist()
+    crc = [zlib.crc32(words[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return [pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(lattice.spell(ids, sizes), pa.binary()).cast(pa.string())]
+
+
+def _keyed(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
+    """(text, seed, carried columns under names of our own), those names, and their part of the schema."""
+    kept = ["doc_id", *carry]
+    names = [f"c{i}" for i in range(len(kept))]
+    ddl = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, kept))
+    return docs.select("text", F.xxhash64("doc_id").alias("_seed"), *kept).toDF("text", "_seed", *names), names, ddl
+
+
 def encode_pieces(docs: DataFrame, path: str, theta: float = THETA, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text) -> (doc_id, carried columns, ids): one sampled segmentation, seeded by doc_id."""
+    rows, names, ddl = _keyed(docs, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(path, theta)
         for batch in batches:
             for part in slices(batch, 256):
-                seeds = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                ids, sizes = lattice.sample(raw_texts(part.column(0)), seeds)
+                ids, sizes = _encoded(lattice, part.column(0), part.column(1))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], lists], [*names, "ids"])
 
-    kept = ["doc_id", *carry]
-    names = [f"c{i}" for i in range(len(kept))]
-    ddl = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, kept))
-    rows = docs.select("text", F.xxhash64("doc_id").alias("_seed"), *kept)
-    return rows.toDF("text", "_seed", *names).mapInArrow(tidied(run), f"{ddl}, ids array<int>").toDF(*kept, "ids")
+    return rows.mapInArrow(tidied(run), f"{ddl}, ids array<int>").toDF("doc_id", *carry, "ids")
 
 
 def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
@@ -220,20 +236,30 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
                 lists = part.column(1)
                 at = lists.offsets.to_numpy().astype(np.int64)
                 ids = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-                texts = lattice.spell(ids, np.diff(at))
-                words = memoryview(ids.astype("<u4")).cast("B")
-                bounds = ((at - at[0]) * 4).tolist()
-                crc = [zlib.crc32(words[a:b]) for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_pieces", "pieces_crc32", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *_decoded(lattice, ids, np.diff(at))], ["doc_id", "n_pieces", "pieces_crc32", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {kind}, n_pieces long, pieces_crc32 long, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str, theta: float = THETA) -> DataFrame:
+    """(doc_id, text) -> (doc_id, n_pieces, pieces_crc32, decoded): encode_pieces and decode_pieces in one
+    worker, for checks that need no ids outside it (two chained functions would keep two workers a core)."""
+    rows, names, ddl = _keyed(docs, ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice(path, theta)
+        for batch in batches:
+            for part in slices(batch, 256):
+                ids, sizes = _encoded(lattice, part.column(0), part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(2), *_decoded(lattice, ids, sizes)], [*names, "n_pieces", "pieces_crc32", "decoded"])
+
+    return rows.mapInArrow(tidied(run), f"{ddl}, n_pieces long, pieces_crc32 long, decoded string").toDF("doc_id", "n_pieces", "pieces_crc32", "decoded")
+
+
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    back = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    back = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return back.select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"), "n_pieces", "pieces_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
