@@ -44,7 +44,7 @@ def test_toxic_ones_go(spark, steps):
 
 def test_one_of_each_group_stays(steps):
     before, after = frames(steps[1])
-    found = groups([plain_fingerprint(t) for t in before.text], 2)
+    found = groups([plain_fingerprint(t) for t in before.text], corpus_pipeline.RADIUS)
     first = before.groupby(found).doc_id.min()
     assert set(after.doc_id) == set(first) and after.equals(before[before.doc_id.isin(first)].reset_index(drop=True))
 

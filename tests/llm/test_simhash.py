@@ -54,6 +54,16 @@ def test_components_of_links(spark):
         assert pd.factorize(np.array(label))[0].tolist() == pd.factorize(np.array(want))[0].tolist()
 
 
+def test_wider_radius_and_longer_keys(spark):
+    values = clustered(400, 9)
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    want = pd.factorize(np.array(groups(values, 6)))[0].tolist()
+    for agree in (2, 3, 4):
+        found = {r.node: r.root for r in simhash.components(simhash.links(nodes, 6, agree=agree)).collect()}
+        assert pd.factorize(np.array([found.get(v, v) for v in values]))[0].tolist() == want
+    assert [simhash.blocks_to_agree(n, 6) for n in (10, 10**6, 10**8, 10**11)] == [2, 2, 4, 4]
+
+
 def test_large_shard_route(spark):
     """All values share their upper half, so whole shard keys are hot; blocks of 8 cut them up."""
     rng = random.Random(5)

@@ -5,7 +5,7 @@ fingerprints link when they differ in at most ``radius`` bits; components of lin
 
 Finding the links: equal fingerprints are one node. A fingerprint is cut into radius + 2 blocks; two
 within the radius agree on two blocks at least, so each pair of blocks is a shard key, and fingerprints
-that share a key meet in one shard. A shard is a BK-tree: children are keyed by their integer Hamming
+that share a key meet in one shard (for more fingerprints, three or four blocks of as many more). A shard is a BK-tree: children are keyed by their integer Hamming
 distance to the parent, and a query follows only edges within the radius of its own distance. The trees
 are not broadcast whole, as their size follows the corpus; a shard of more than ``block`` fingerprints is
 cut into trees of at most ``block``, and only such a bounded tree is copied to the query blocks of its
@@ -119,17 +119,36 @@ def forest(tree: list[int], queries: list[int], radius: int) -> list[tuple[int,
     return out
 
 
-def shard_keys(fp: Column, radius: int) -> Column:
-    """One key for each pair of the radius + 2 blocks of a fingerprint."""
-    n = radius + 2
+def blocks_to_agree(n: int, radius: int) -> int:
+    """How many blocks make a shard key: two at least, more for more fingerprints, so that a key is shared by
+    chance by a few of them only. The links found do not depend on it."""
+    agree = 2
+    while agree < 4 and n >> (64 * agree // (radius + agree)) > 32:
+        agree += 1
+    return agree
+
+
+def shard_keys(fp: Column, radius: int, agree: int) -> Column:
+    """One key for each choice of ``agree`` of the radius + agree blocks of a fingerprint: fingerprints
+    within the radius share one of them."""
+    n = radius + agree
     cuts = [64 * i // n for i in range(n + 1)]
     blocks = [F.shiftrightunsigned(fp, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)) for i in range(n)]
-    return F.array(*[F.struct(F.lit(c).cast("int").alias("pair"), F.shiftleft(blocks[i], 32).bitwiseOR(blocks[j]).alias("key")) for c, (i, j) in enumerate(combinations(range(n), 2))])
+    width = max(b - a for a, b in zip(cuts, cuts[1:]))
+
+    def packed(chosen: tuple[int, ...]) -> Column:
+        out = blocks[chosen[0]]
+        for i in chosen[1:]:
+            out = F.shiftleft(out, width).bitwiseOR(blocks[i])
+        return out
+
+    return F.array(*[F.struct(F.lit(c).cast("int").alias("pair"), packed(chosen).alias("key")) for c, chosen in enumerate(combinations(range(n), agree))])
 
 
-def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, radius: int, block: int = BLOCK, agree: int | None = None) -> DataFrame:
     """(fp), distinct -> (a, b): spanning links of the pairs within the radius."""
-    keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"), radius)).alias("s")).select("fp", "s.pair", "s.key")
+    agree = agree or blocks_to_agree(nodes.count(), radius)
+    keyed = nodes.select("fp", F.explode(shard_keys(F.col("fp"), radius, agree)).alias("s")).select("fp", "s.pair", "s.key")
     sizes = keyed.groupBy("pair", "key").agg(F.count("*").alias("n")).filter("n > 1")
     large = stage(sizes.filter(F.col("n") > block), "simhash-large")
     small = keyed.join(large.select("pair", "key", F.lit(True).alias("is_large")), ["pair", "key"], "left").filter("is_large IS NULL")
