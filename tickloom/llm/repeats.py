@@ -21,7 +21,7 @@ copies, are removed from the texts; windows are judged on the input, never on wh
 Edge cases: null texts are empty; texts under ``width`` bytes have no windows; very long texts are cut
 into overlapping chunks for step 1 only; rows that repeat (doc_id and text) are repeated windows of each
 other, but are one document when only later copies go; null doc_ids come first; an empty table gives no
-rows; columns of other names are carried along untouched by ``remove_repeats``."""
+rows; ``remove_repeats`` carries columns of other names along (n_removed and n_spans are its own)."""
 
 from __future__ import annotations
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import raw_texts, ship, slices, stage, table, unstage
+from tickloom.llm.common import raw_texts, ship, slices, stage, table, tidied, unstage
 
 WIDTH, GRAM, GROUP = 200, 32, 4000
 #: Bytes of texts that step 1 works on at a time, and of runs that step 3 sorts at a time.
@@ -145,7 +145,7 @@ def runs_of(docs: DataFrame, width: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ddl = f"doc_id {kind}, mark int, n_bytes int, at int, windows short, off short, gram long, body long"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", text_mark()).mapInArrow(run, ddl)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", text_mark()).mapInArrow(tidied(run), ddl)
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -238,7 +238,7 @@ def settle_groups(bodies: DataFrame, width: int, later_only: bool) -> DataFrame:
             yield done(held)
 
     rows = bodies.select("gram", "body", "copies", "bytes", "doc_id", "mark", "n_bytes", "at")
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, f"gram long, body long, found {STRETCHES}")
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(run), f"gram long, body long, found {STRETCHES}")
 
 
 def settle_large(bodies: DataFrame, width: int, later_only: bool) -> DataFrame:
@@ -252,7 +252,7 @@ def settle_large(bodies: DataFrame, width: int, later_only: bool) -> DataFrame:
                 out.append(scramble(Rolling(np.frombuffer(text, np.uint8)).spans(n, n + width)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["gram", "body", "hashes"])
 
-    listed = bodies.select("gram", "body", "bytes").mapInArrow(hashes, "gram long, body long, hashes array<long>")
+    listed = bodies.select("gram", "body", "bytes").mapInArrow(tidied(hashes), "gram long, body long, hashes array<long>")
     keys = bodies.select(F.col("gram").alias("_g"), F.col("body").alias("_b"), "copies", "off", F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at").alias("place"))
     rows = listed.join(keys, (F.col("gram") == F.col("_g")) & (F.col("body") == F.col("_b"))).select("gram", "body", "copies", "off", "place", F.posexplode("hashes").alias("w", "h"))
     rows = rows.withColumn("o", F.col("off") - F.col("w"))
@@ -271,6 +271,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, later_only: bool = False
     place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at")
     counted = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("body").alias("b0"), F.max("body").alias("b1"), *([F.min(place).alias("least")] if later_only else []))
     again = counted.filter("n > 1").select(F.col("gram").alias("_gram"), (F.col("b0") == F.col("b1")).alias("same"), *(["least"] if later_only else []))
+    # A table of its own, so that the join can split the runs of a hot anchor over tasks.
+    again = stage(again, "runs-grams")
     seen = stage(runs.join(again, F.col("gram") == F.col("_gram")).drop("_gram"), "runs-again")
     unstage(runs)
     same = seen.filter("same")
@@ -284,8 +286,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, later_only: bool = False
     first = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at", "windows", "off")
     kinds = mixed.groupBy("gram", "body").agg(F.count("*").alias("copies"), F.min(first).alias("p"))
     kinds = stage(kinds.select("gram", "body", "copies", "p.doc_id", "p.mark", "p.n_bytes", "p.at", "p.windows", "p.off"), "runs-kinds")
-    sizes = kinds.groupBy("gram").agg((F.count("*") > group).alias("large")).select(F.col("gram").alias("_gram"), "large")
-    wanted = kinds.join(sizes, F.col("gram") == F.col("_gram")).drop("_gram")
+    sizes = stage(kinds.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > group).select(F.col("gram").alias("_gram")), "runs-large")
+    wanted = kinds.join(sizes, F.col("gram") == F.col("_gram"), "left").withColumn("large", F.col("_gram").isNotNull()).drop("_gram")
     run_row = F.struct("gram", "body", "copies", "at", "windows", "off", "large")
     wanted = wanted.groupBy(*key).agg(F.collect_list(run_row).alias("runs"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", text_mark().alias("mark"), F.octet_length("text").alias("n_bytes"))
@@ -299,7 +301,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, later_only: bool = False
     found = settle_groups(bodies.filter("NOT large"), width, later_only).unionByName(settle_large(bodies.filter("large"), width, later_only))
     found = stage(found.select(F.col("gram").alias("_g"), F.col("body").alias("_b"), "found"), "runs-found")
     named = kinds.select(F.col("gram").alias("_gram"), F.col("body").alias("_body"), "copies", F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at").alias("p"))
-    told = named.join(found, (F.col("_gram") == F.col("_g")) & (F.col("_body") == F.col("_b")), "left").drop("_g", "_b")
+    told = stage(named.join(found, (F.col("_gram") == F.col("_g")) & (F.col("_body") == F.col("_b")), "left").drop("_g", "_b"), "runs-told")
     back = mixed.drop("same", "least").join(told, (F.col("gram") == F.col("_gram")) & (F.col("body") == F.col("_body")))
     full = (place != F.col("p")) if later_only else (F.col("copies") > 1)
     mixed_found = back.select(*key, "at", F.when(full, whole).otherwise(F.col("found")).alias("found")).filter("found IS NOT NULL")
@@ -330,6 +332,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
     """The columns of docs with the repeats cut out of text and n_removed, n_spans; with ``digest``
     (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of the exact bytes instead."""
     spans = repeated_spans(docs, width, later_only).toDF("_sd", "_sm", "_sn", "_spans")
+    docs = docs.drop("n_removed", "n_spans")
     others = [] if digest else [c for c in docs.columns if c != "text"]
     kept = {f"_c{i}": c for i, c in enumerate(others)}
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("_d"), *[F.col(c).alias(k) for k, c in kept.items()])
@@ -351,10 +354,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False
 
     if digest:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        return joined.mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     names = [*kept, "text", "n_removed", "n_spans"]
     ddl = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in kept.items())
-    out = joined.mapInArrow(run, f"{ddl}, text string, n_removed long, n_spans long")
+    out = joined.mapInArrow(tidied(run), f"{ddl}, text string, n_removed long, n_spans long")
     back = {c: k for k, c in kept.items()}
     return out.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns], "n_removed", "n_spans")
 
