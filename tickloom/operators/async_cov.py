@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.noise import field, g_weights, modulated, pre_average_window, pre_averaged, total, two_scale
+from tickloom.operators.noise import modulated, pre_average_window, pre_averaged, total, two_scale
 from tickloom.operators.panel import PAIR
 from tickloom.operators.realized import realized
 from tickloom.sources.tables import tick_hours
@@ -124,9 +124,11 @@ def modulated_covariance(ticks: DataFrame, theta: float = 0.8) -> DataFrame:
     than four of them."""
     own = modulated(ticks, theta).select("day", F.col("symbol").alias("sym_i"), F.col("symbol").alias("sym_j"), F.col("rmrvar").alias("rmrcov"))
     w = Window.partitionBy(*PAIR).orderBy("m")
-    rows = refresh_sync(ticks).withColumns({"ri": F.col("lp_i") - F.lag("lp_i").over(w), "rj": F.col("lp_j") - F.lag("lp_j").over(w)})
-    out = rows.groupBy(*PAIR).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("m") > 0, F.struct("m", "ri", "rj")))).alias("s")).filter("n >= 4")
-    out = out.withColumn("kn", pre_average_window(F.col("n"), theta)).withColumn("g", g_weights(F.col("kn")))
-    pa = [pre_averaged(field("s", c), F.col("g"), F.col("kn")) for c in ("ri", "rj")]
-    value = F.col("n") / (F.col("n") - F.col("kn") + 2) * (F.lit(12.0) / F.col("kn")) * total(F.zip_with(*pa, lambda x, y: x * y))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = refresh_sync(ticks).withColumns({c: F.col(c) - F.first(c).over(upto) for c in ("lp_i", "lp_j")})
+    rows = rows.withColumns({c: F.sum(c).over(upto) for c in ("lp_i", "lp_j")})
+    out = rows.groupBy(*PAIR).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("m", "lp_i", "lp_j"))).alias("s")).filter("n >= 4")
+    out = out.withColumns({"kn": pre_average_window(F.col("n"), theta), "ui": F.transform("s", lambda x: x["lp_i"]), "uj": F.transform("s", lambda x: x["lp_j"])})
+    out = out.withColumns({"pi": pre_averaged(F.col("ui"), F.col("kn")), "pj": pre_averaged(F.col("uj"), F.col("kn"))})
+    value = F.col("n") / (F.col("n") - F.col("kn") + 2) * (F.lit(12.0) / F.col("kn")) * total(F.zip_with("pi", "pj", lambda x, y: x * y))
     return own.unionByName(_all_pairs(ticks, out.select(*PAIR, value.alias("rmrcov")), "rmrcov"))

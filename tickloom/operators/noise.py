@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.constants import gfunction, kernel_weight
@@ -72,23 +72,26 @@ def pre_average_window(n: Column, theta: float) -> Column:
     return F.greatest(F.lit(2), F.floor(F.lit(theta) * F.sqrt(n)).cast("int"))
 
 
-def g_weights(kn: Column) -> Column:
-    """g(j / kn) for j = 0 .. kn - 1."""
-    return F.transform(F.sequence(F.lit(0), kn - 1), lambda j: F.least(j / kn, 1 - j / kn))
-
-
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
-def pre_averaged(returns: Column, weights: Column, kn: Column) -> Column:
-    """Weighted means of every kn adjacent returns; none if there are fewer."""
-    dot = lambda i: total(F.zip_with(F.slice(returns, i, kn), weights, lambda r, g: r * g)) / total(weights)
-    return F.when(F.size(returns) >= kn, F.transform(F.sequence(F.lit(1), F.size(returns) - kn + 1), dot)).otherwise(F.array().cast("array<double>"))
+def pre_averaged(upto: Column, kn: Column) -> Column:
+    """Weighted means of every kn adjacent returns from running sums of log prices, none if there are fewer.
+    The weights rise and fall by equal steps, so by summation by parts a mean is the difference of two sums of
+    kn / 2 log prices: four lookups, whatever kn is."""
+    half = F.floor(kn / 2).cast("int")
+    at = lambda i: F.element_at(upto, i.cast("int"))
+    mean = lambda i: (at(i + kn) - at(i + kn - half) - at(i + half) + at(i)) / F.floor(kn * kn / 4)
+    return F.when(F.size(upto) > kn, F.transform(F.sequence(F.lit(1), F.size(upto) - kn), mean)).otherwise(F.array().cast("array<double>"))
 
 
-def field(structs: str, name: str) -> Column:
-    return F.transform(structs, lambda x: x[name])
+def psi_columns(kn: Column) -> tuple[Column, Column]:
+    """The constants of a window that is a column, in closed form."""
+    half = F.floor(kn / 2)
+    below = half - F.when(kn % 2 == 0, 1).otherwise(0)
+    squares = below * (below + 1) * (2 * below + 1) / 3 + F.when(kn % 2 == 0, half * half).otherwise(0)
+    return 2 * half / kn, squares / (kn.cast("double") * kn * kn)
 
 
 def pre_average(ticks: DataFrame, kn: int) -> DataFrame:
@@ -102,19 +105,18 @@ def pre_average(ticks: DataFrame, kn: int) -> DataFrame:
     return rows.filter("_last IS NOT NULL").select(*KEYS, "idx", "pre_averaged")
 
 
-def ordered_returns(rows: DataFrame, keys: tuple[str, ...], *names: str) -> DataFrame:
-    """keys and, for each name, its values in order as an array."""
-    out = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", *names))).alias("_s"))
-    return out.select(*keys, *[field("_s", n).alias(n) for n in names])
-
-
 def modulated(ticks: DataFrame, theta: float = 0.8) -> DataFrame:
     """Pre-averaged realized variance with its noise correction."""
-    out = ordered_returns(log_returns(ticks).filter("r IS NOT NULL"), KEYS, "r")
-    out = out.withColumn("n", F.size("r") + 1).withColumn("kn", pre_average_window(F.col("n"), theta))
-    out = out.withColumn("g", g_weights(F.col("kn"))).withColumn("pa", pre_averaged(F.col("r"), F.col("g"), F.col("kn")))
-    square = lambda c: total(F.transform(c, lambda x: x * x))
-    steps = F.zip_with(F.concat(F.slice("g", F.lit(2), F.col("kn")), F.array(F.lit(0.0))), F.col("g"), lambda b, a: (b - a) * (b - a))
-    out = out.withColumns({"psi1": F.col("kn") * total(steps), "psi2": square(F.col("g")) / F.col("kn")})
-    value = square(F.col("pa")) / (F.sqrt("n") * theta * F.col("psi2")) - F.col("psi1") / (2 * theta**2 * F.col("psi2") * F.col("n")) * square(F.col("r"))
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
+    rows = log_returns(ticks)
+    # Log prices from 0 at the start of a series, and their running sum; a table of returns lacks the first one.
+    rows = rows.withColumn("_lp", F.sum(F.coalesce("r", F.lit(0.0))).over(upto)).withColumn("_up", F.sum("_lp").over(upto))
+    out = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "_up"))).alias("s"), F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)).alias("rr"))
+    sums = F.transform("s", lambda x: x["_up"])
+    out = out.withColumn("upto", sums if "price" in rows.columns else F.concat(F.array(F.lit(0.0)), sums)).withColumn("n", F.size("upto"))
+    out = out.filter("n > 1").withColumn("kn", pre_average_window(F.col("n"), theta))
+    psi1, psi2 = psi_columns(F.col("kn"))
+    out = out.withColumns({"pa": pre_averaged(F.col("upto"), F.col("kn")), "psi1": psi1, "psi2": psi2})
+    square = total(F.transform("pa", lambda x: x * x))
+    value = square / (F.sqrt("n") * theta * F.col("psi2")) - F.col("psi1") / (2 * theta**2 * F.col("psi2") * F.col("n")) * F.col("rr")
     return out.select(*KEYS, value.alias("rmrvar"))
