@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import raw_texts, ship, slices, stage, table, tidied, unstage
 
-WIDTH, GRAM, GROUP = 200, 32, 4000
+WIDTH, GRAM, GROUP = 200, 32, 1000
 #: Bytes of texts that step 1 works on at a time, and of runs that step 3 sorts at a time.
 CHUNK, SORTED = 1 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
