@@ -244,8 +244,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, carry: tuple[s
     marked = stage(fingerprints(docs, k, carry), "simhash")
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     joined = stage(components(links(nodes, radius)), "simhash-roots")
-    roots = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    roots = stage(nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "simhash-groups")
+    # A table of its own, so that the join can split the members of a large group over tasks.
+    least = stage(roots.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     named = stage(roots.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "simhash-named")
     return marked.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
