@@ -20,7 +20,7 @@ read by the search."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -251,13 +251,13 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, carry: tuple[s
     return marked.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def keep_first(docs: DataFrame, k: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each group of near-duplicates: the smallest doc_id's (null ids last). Rows that share
+def keep_first(docs: DataFrame, find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """One row of each group (root) that ``find`` gives: the smallest doc_id's (null ids last). Rows that share
     that id are told apart by hashes of all their columns; equal rows are one."""
     docs = docs.drop("_m1", "_m2")
     keys = {"_m1": F.xxhash64(*docs.columns), "_m2": F.xxhash64(F.lit(1), *docs.columns)}
     rows = docs.withColumns(keys)
-    found = near_duplicates(rows, k, radius, ("doc_id", "_m1", "_m2"))
+    found = find(rows, carry=("doc_id", "_m1", "_m2"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_m1", "_m2")).alias("f"))
     first = stage(first.select("f._m1", "f._m2"), "simhash-first")
     return rows.join(first, ["_m1", "_m2"]).dropDuplicates(["_m1", "_m2"]).select(*docs.columns)
