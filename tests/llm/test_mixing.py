@@ -73,3 +73,10 @@ def test_nothing_to_mix(spark):
 def test_query_equals_oracle(spark):
     sf = "/root/testdata/sf0.001"
     assert_same(mixing.op1_curriculum_mix(spark, sf), tables(sf), mixing.ORACLE)
+
+
+def test_documents_without_a_word_have_no_copy(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, " \t", "a"), (4, "one two", "a"), (5, None, "b")], "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs, mixing.word_count(docs.text), whole=True)
+    assert {r.doc_id: len(r._mix_copies) for r in plan.collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0}
+    assert [r.doc_id for r in mixing.training_order(plan, docs.columns).collect()] == [4]

@@ -9,8 +9,8 @@ position, by range, is the order of training.
 Everything is DataFrame work. A source may hold a third of all rows, so running sums are taken in two
 levels: sums per (source, hash bucket), then within a bucket; no task sees a whole source.
 
-Edge cases: a null source is a source of its own, last in order; a null text has size 0; repeated rows
-are taken on their own; an empty table gives an empty result; columns whose names begin with ``_mix`` are
+Edge cases: a null source is a source of its own, last in order; a null text has size 0; documents of
+size 0 have no copies, so they are planned but not in the training order; repeated rows are taken on their own; an empty table gives an empty result; columns whose names begin with ``_mix`` are
 the operator's own and are dropped from its input."""
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def plan_mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, ma
 
 
 def training_order(plan: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row for each copy that the mix takes, range-sorted by training position."""
+    """One row for each copy that the mix takes, range-sorted by training position; documents of size 0 have none."""
     rows = plan.select(*columns, "_mix_key", F.explode("_mix_copies").alias("_mix_copy"))
     return rows.orderBy(F.col("_mix_copy.position"), "_mix_key", F.col("_mix_copy.copy")).select(*columns)
 
