@@ -292,3 +292,14 @@ def test_empty_tables(spark):
 def test_plan_has_one_shuffle_and_pushdown(spark):
     plan = realized.realized(tables.ticks(spark, "/root/testdata/sf0.001"), ["rrvar", "rbpvar", "rtpquar"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "GreaterThan(value,0.0)" in plan and "props" not in plan
+
+
+def test_refresh_panel_of_three_clocks(spark):
+    prices = {"a": prices_of(5), "b": prices_of(4, 1), "c": prices_of(3, 2)}
+    ticks = make_ticks(spark, prices, {"a": [0, 1, 2, 3, 4], "b": [0.5, 1.5, 3.5, 4.5], "c": [1, 3, 4]})
+    for variant, picks in (("faithful", [(0, 0, 0), (2, 1, 0), (3, 2, 1)]), ("literature", [(1, 0, 0), (3, 1, 1), (4, 2, 2)])):
+        rows = sorted(async_cov.refresh_panel(ticks, variant).collect(), key=lambda r: r.m)
+        assert [r.t - rows[0].t for r in rows] == pytest.approx([0, 2, 3])
+        assert all(r.symbols == ["a", "b", "c"] for r in rows)
+        for r, at in zip(rows, picks, strict=True):
+            assert r.lps == pytest.approx([math.log(prices[k][i]) for k, i in zip("abc", at)])

@@ -62,21 +62,41 @@ def lead_lag(ticks: DataFrame, max_lag: int = 10) -> DataFrame:
     return out.select(*PAIR, "lag", "covariance", label.alias("interpretation"))
 
 
-def refresh_times(t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
-    """The refresh times of two increasing clocks: the first time at which both have ticked, then again
-    from just after it."""
+def refresh_times(*clocks: np.ndarray) -> np.ndarray:
+    """The refresh times of increasing clocks: the first time at which all have ticked, then again from just
+    after it."""
     out = []
-    if len(t1) and len(t2):
-        last, now = min(t1[-1], t2[-1]), max(t1[0], t2[0])
+    if clocks and all(len(t) for t in clocks):
+        last, now = min(t[-1] for t in clocks), max(t[0] for t in clocks)
         while now <= last:
             out.append(now)
-            i, j = np.searchsorted(t1, now, "right"), np.searchsorted(t2, now, "right")
-            if i == len(t1) or j == len(t2):
+            at = [np.searchsorted(t, now, "right") for t in clocks]
+            if any(i == len(t) for i, t in zip(at, clocks)):
                 break
-            now = max(t1[i], t2[j])
+            now = max(t[i] for i, t in zip(at, clocks))
     return np.array(out, dtype=float)
 
 
+def refresh_panel(ticks: DataFrame, variant: str = "faithful") -> DataFrame:
+    """(day, m, t, symbols, lps) on the refresh times that all symbols of a day have in common; values as in
+    refresh_sync, in the order of the symbols."""
+    side = "right" if variant == "literature" else "left"
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("t", "ascending"), ("seq", "ascending")])
+        symbol = rows.column("symbol").to_numpy()
+        t, lp = (rows.column(c).to_numpy() for c in ("t", "lp"))
+        names = sorted(set(symbol))
+        series = [(t[symbol == k], lp[symbol == k]) for k in names]
+        grid = refresh_times(*(clock for clock, _ in series))
+        values = np.stack([v[np.maximum(np.searchsorted(clock, grid, side) - 1, 0)] for clock, v in series], 1)
+        head = {"day": pa.array([key[0].as_py()] * len(grid), pa.string()), "m": pa.array(np.arange(len(grid))), "t": grid}
+        return pa.table({**head, "symbols": pa.array([names] * len(grid), pa.list_(pa.string())), "lps": pa.array(list(values), pa.list_(pa.float64()))})
+
+    rows = ticks.filter("symbol IS NOT NULL").select(F.col("day").cast("string").alias("day"), "symbol", tick_hours("ts").alias("t"), "seq", F.ln("price").alias("lp"))
+    return rows.groupBy("day").applyInArrow(run, "day string, m long, t double, symbols array<string>, lps array<double>")
+
+
 def refresh_sync(ticks: DataFrame, variant: str = "faithful") -> DataFrame:
     """(day, sym_i, sym_j, m, t, lp_i, lp_j) on the pair's refresh times. A value is the last one strictly
     before the time (the first one if none is); variant="literature" takes at-or-before."""
