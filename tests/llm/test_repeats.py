@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickloom.llm import repeats
 
@@ -72,6 +73,32 @@ def test_repeated_rows_and_null_ids(spark):
     assert digest(spark, rows) == brute(rows, 200)
 
 
+def test_rows_of_one_id_whose_short_hashes_clash(spark):
+    """Texts of one size and one 32-bit hash, under one id or none: what repeats in one must not go from the other."""
+    rng = random.Random(11)
+    words = spark.range(200_000).selectExpr("lpad(cast(id * 7919 as string), 10, 'q') AS t", "hash(concat(lpad(cast(id * 7919 as string), 10, 'q'), repeat('x', 200), repeat('y', 200))) AS h")
+    one, two = words.groupBy("h").agg(F.collect_list("t").alias("t")).filter("size(t) > 1").first().t[:2]
+    tail = "x" * 200 + "y" * 200
+    other = "".join(rng.choices("abcdefgh", k=400))
+    rows = [(None, one + tail), (None, two + tail), (3, two[4:] + tail[:300] + "end"), (1, one + tail), (1, two + tail), (None, one + other)]
+    assert digest(spark, rows) == brute(rows, 200)
+    lone = [(None, one + other), (None, two + tail), (4, tail + "!")]
+    assert digest(spark, lone) == brute(lone, 200)
+
+
+def test_wide_groups_split_by_halves(spark, monkeypatch):
+    """Many surroundings of one line, and copies of some: the halves must not lose or add a window."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line = word(60)
+    rows = [(i, word(rng.randint(0, 220)) + line + word(rng.randint(0, 220))) for i in range(60)]
+    rows += [(100 + i, word(30) + rows[i][1][rng.randint(0, 60) :] + word(20)) for i in range(0, 60, 4)]
+    plain = repeats.repeated_spans
+    for later, group in ((False, 7), (True, 2)):
+        monkeypatch.setattr(repeats, "repeated_spans", lambda docs, width, only, g=group: plain(docs, width, only, g))
+        assert digest(spark, rows, later_only=later) == brute(rows, 200, later)
+
+
 def test_long_text_over_chunks(spark, monkeypatch):
     rng = random.Random(2)
     shared = "".join(rng.choice("abcdefgh") for _ in range(1000))
@@ -105,7 +132,10 @@ def test_suffix_ranks(bodies, width):
     assert ranks.tolist() == [order[w] for w in words]
     later = repeats.previous_factors(np.asarray(ranks, np.int64), starts)
     seen: set = set()
-    assert later.tolist() == [w in seen or seen.add(w) is not None for w in words]
+    assert (later >= 0).tolist() == [w in seen or seen.add(w) is not None for w in words]
+    assert all(words[s] == words[i] and s < i for i, s in enumerate(later.tolist()) if s >= 0)
+    count = collections.Counter(words)
+    assert set(np.flatnonzero(later >= 0)) | set(later[later >= 0]) == {i for i, w in enumerate(words) if count[w] > 1}
 
 
 def test_query(spark):

@@ -13,11 +13,15 @@ copies, are removed from the texts; windows are judged on the input, never on wh
 3. What is left are anchors with several surroundings. One run of each different surrounding is fetched
    from its text, and runs of an anchor meet: their bytes are put one after another, suffixes are sorted
    by rank doubling up to ``width`` bytes, and in suffix order the previous and next smaller places within
-   a stretch of common prefix ``width`` tell which windows have an earlier match (a longest previous
-   factor of ``width`` or more). Anchors with over ``GROUP`` surroundings are settled by counting their
-   windows' hashes instead, which needs no group in one place.
+   a stretch of common prefix ``width`` give each suffix an earlier match, the source of its longest
+   previous factor. Suffixes with a source are later copies; with the sources, they are all that repeats.
+   An anchor with over ``GROUP`` surroundings is split by what lies next to it, again and again: a window
+   has the anchor in its left or in its right half, so windows of each half can only equal those that share
+   the bytes on the other side. A half of a half ends at windows of one offset, which meet by their bytes.
 4. Spans are joined back to the texts.
 
+Rows are told apart by doc_id, size and 128 bits of hashes of the text; equal rows are one.
+
 Edge cases: null texts are empty; texts under ``width`` bytes have no windows; very long texts are cut
 into overlapping chunks for step 1 only; rows that repeat (doc_id and text) are repeated windows of each
 other, but are one document when only later copies go; null doc_ids come first; an empty table gives no
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import raw_texts, ship, slices, stage, table, tidied, unstage
 
-WIDTH, GRAM, GROUP = 200, 32, 4000
+WIDTH, GRAM, GROUP = 200, 32, 500
 #: Bytes of texts that step 1 works on at a time, and of runs that step 3 sorts at a time.
 CHUNK, SORTED = 1 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -125,27 +129,36 @@ def anchor_runs(pieces: list[tuple[int, int, bytes]], width: int) -> tuple[np.nd
     return texts[who], at - first[who] + offsets[who], n, a - at, scramble(grams[a]).view(np.int64), body.view(np.int64)
 
 
-def text_mark() -> Column:
-    return F.hash("text")
+#: What tells rows apart.
+KEY = ("doc_id", "m1", "m2", "n_bytes")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> doc_id, text (null: empty) and the other columns of KEY."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(1), "text").alias("m2"), F.octet_length("text").alias("n_bytes"))
+
+
+def place() -> Column:
+    """The order of runs: by doc_id, null first, then by text and place."""
+    return F.struct(F.col("doc_id").isNotNull().alias("k"), *KEY, "at")
 
 
 def runs_of(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, mark (hash of the text), n_bytes, at, windows, off, gram, body."""
-    names = ["doc_id", "mark", "n_bytes", "at", "windows", "off", "gram", "body"]
+    """(doc_id, text) -> KEY, at, windows, off, gram, body."""
+    names = [*KEY, "at", "windows", "off", "gram", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2048):
-                texts = raw_texts(part.column(1))
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                for pieces in chunks(texts, width):
+                for pieces in chunks(raw_texts(part.column(1)), width):
                     who, at, n, off, gram, body = anchor_runs(pieces, width)
                     rows = pa.array(who)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(2).take(rows), pa.array(sizes[who].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(gram), pa.array(body)], names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in (0, 2, 3, 4)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int16)), pa.array(off.astype(np.int16)), pa.array(gram), pa.array(body)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, mark int, n_bytes int, at int, windows short, off short, gram long, body long"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", text_mark()).mapInArrow(tidied(run), ddl)
+    ddl = f"doc_id {kind}, m1 long, m2 long, n_bytes int, at int, windows short, off short, gram long, body long"
+    return keyed(docs).mapInArrow(tidied(run), ddl)
 
 
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -173,20 +186,22 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
 
 
 def previous_factors(ranks: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which suffixes have a longest previous factor of the ranked width or more. In suffix order, a
-    stretch of equal ranks has that common prefix; a suffix has an earlier match if a smaller place
-    comes before it in the stretch (previous smaller) or after it (next smaller)."""
+    """For each suffix, one that starts at a smaller place and shares the ranked width with it (the source of
+    a longest previous factor of that width or more), or -1. In suffix order a stretch of equal ranks has that
+    common prefix; a source is a smaller place before the suffix in its stretch, or else one after it."""
     order = np.argsort(ranks, kind="stable")
     p, r = place[order], ranks[order]
     top = int(place.max()) + 1 if len(place) else 1
-    before = np.minimum.accumulate(p - r * top) + r * top
-    after = (np.minimum.accumulate((p + r * top)[::-1]))[::-1] - r * top
-    out = np.empty(len(ranks), bool)
-    out[order] = (before < p) | (after < p)
-    return out
+    least_first, least_last = np.minimum.accumulate(p - r * top), np.minimum.accumulate((p + r * top)[::-1])[::-1]
+    before, after = least_first + r * top, least_last - r * top
+    at_place = np.full(top, -1, np.int64)
+    at_place[place] = np.arange(len(place))
+    source = np.full(len(ranks), -1, np.int64)
+    source[order] = np.where(before < p, at_place[np.minimum(before, top - 1)], np.where(after < p, at_place[np.minimum(after, top - 1)], -1))
+    return source
 
 
-def settle(bodies: list[bytes], windows: np.ndarray, counts: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def settle(bodies: list[bytes], windows: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For every window of the runs: is it repeated, is it a later copy. ``order`` ranks the runs by place."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
     sizes = windows + width - 1
@@ -194,9 +209,11 @@ def settle(bodies: list[bytes], windows: np.ndarray, counts: np.ndarray, order:
     owner = np.repeat(np.arange(len(bodies)), windows)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     ranks = suffix_ranks(data, first[owner] + within, width)
-    total = np.bincount(ranks, weights=counts[owner].astype(np.float64))
-    later = previous_factors(ranks, order[owner] * (int(windows.max()) + 1) + within)
-    return total[ranks] > 1, later
+    source = previous_factors(ranks, order[owner] * (int(windows.max()) + 1) + within)
+    later = source >= 0
+    repeated = later.copy()
+    repeated[source[later]] = True
+    return repeated, later
 
 
 def stretches(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -212,16 +229,16 @@ def _found(gram: list[int], body: list[int], found: list[list[tuple[int, int]]])
     return pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(body, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in x] for x in found], FOUND.field("found").type)], schema=FOUND)
 
 
-def settle_groups(bodies: DataFrame, width: int, later_only: bool) -> DataFrame:
-    """Runs of the same anchor meet, in batches of whole groups: (gram, body) -> stretches of windows."""
+def settle_groups(parts: DataFrame, width: int, later_only: bool) -> DataFrame:
+    """Runs of the same part meet, in batches of whole parts: (gram, body) -> stretches of windows."""
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        rank = {x: i for i, x in enumerate(sorted({(r[4] is not None, r[4], r[5], r[6], r[7]) for r in rows}))}
-        order = np.array([rank[r[4] is not None, r[4], r[5], r[6], r[7]] for r in rows], np.int64)
-        windows = np.array([len(r[3]) - width + 1 for r in rows], np.int64)
-        repeated, later = settle([r[3] for r in rows], windows, np.array([r[2] for r in rows], np.int64), order, width)
+        places = [(r[5] is not None, *r[5:]) for r in rows]
+        rank = {x: i for i, x in enumerate(sorted(set(places)))}
+        windows = np.array([len(r[4]) - width + 1 for r in rows], np.int64)
+        repeated, later = settle([r[4] for r in rows], windows, np.array([rank[x] for x in places], np.int64), width)
         flags = np.split(later if later_only else repeated, np.cumsum(windows)[:-1])
-        picked = [(r[0], r[1], s) for r, f in zip(rows, flags, strict=True) if (s := stretches(f))]
+        picked = [(r[1], r[2], [(a + r[3], b + r[3]) for a, b in s]) for r, f in zip(rows, flags, strict=True) if (s := stretches(f))]
         return _found(*map(list, zip(*picked))) if picked else _found([], [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,43 +250,57 @@ def settle_groups(bodies: DataFrame, width: int, later_only: bool) -> DataFrame:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield done(held)
 
-    rows = bodies.select("gram", "body", "copies", "bytes", "doc_id", "mark", "n_bytes", "at")
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(tidied(run), f"gram long, body long, found {STRETCHES}")
-
-
-def settle_large(bodies: DataFrame, width: int, later_only: bool) -> DataFrame:
-    """The same for anchors with too many surroundings to meet: every window is a row, and hashes count."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                n = np.arange(len(text) - width + 1)
-                out.append(scramble(Rolling(np.frombuffer(text, np.uint8)).spans(n, n + width)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["gram", "body", "hashes"])
-
-    listed = bodies.select("gram", "body", "bytes").mapInArrow(tidied(hashes), "gram long, body long, hashes array<long>")
-    keys = bodies.select(F.col("gram").alias("_g"), F.col("body").alias("_b"), "copies", "off", F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at").alias("place"))
-    rows = listed.join(keys, (F.col("gram") == F.col("_g")) & (F.col("body") == F.col("_b"))).select("gram", "body", "copies", "off", "place", F.posexplode("hashes").alias("w", "h"))
-    rows = rows.withColumn("o", F.col("off") - F.col("w"))
-    met = rows.groupBy("gram", "o", "h").agg(F.sum("copies").alias("n"), F.min("place").alias("least"))
-    met = met.filter("n > 1").select(F.col("gram").alias("_g"), F.col("o").alias("_o"), F.col("h").alias("_h"), "least")
-    hit = rows.join(met, (F.col("gram") == F.col("_g")) & (F.col("o") == F.col("_o")) & (F.col("h") == F.col("_h")))
-    if later_only:
-        hit = hit.filter(F.col("place") != F.col("least"))
-    one = F.struct(F.col("w").cast("int").alias("a"), (F.col("w") + 1).cast("int").alias("b"))
-    return hit.groupBy("gram", "body").agg(F.collect_list(one).alias("found"))
+    rows = parts.select("part", "gram", "body", "shift", "bytes", *KEY, "at")
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(tidied(run), f"gram long, body long, found {STRETCHES}")
+
+
+def halves(parts: DataFrame, width: int) -> DataFrame:
+    """Each part's windows whose anchor has ``lo`` to ``hi`` bytes before it, as two parts of half that range;
+    all of a part share the bytes around the anchor that all those windows have."""
+    middle = F.expr("(lo + hi + 1) div 2").cast("int")
+    both = F.array(F.struct(middle.alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("lo").alias("lo"), (middle - 1).alias("hi")))
+    rows = parts.withColumn("half", F.explode(both)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half", "part")
+    rows = rows.withColumns({"a": F.greatest(F.lit(0), F.col("off") - F.col("hi")), "b": F.least(F.length("bytes") - F.lit(width), F.col("off") - F.col("lo"))}).filter("a <= b")
+    rows = rows.withColumns({"bytes": F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + F.lit(width)), **{c: F.col(c) + F.col("a") for c in ("shift", "at")}, "off": F.col("off") - F.col("a")})
+    shared = F.substring("bytes", F.col("off") - F.col("lo") + 1, F.lit(width) + F.col("lo") - F.col("hi"))
+    return rows.withColumn("part", F.xxhash64("gram", "lo", "hi", shared)).drop("a", "b")
+
+
+def settle_parts(bodies: DataFrame, width: int, later_only: bool, group: int) -> DataFrame:
+    """(gram, body, off, KEY, at, bytes) -> (gram, body) and stretches of windows, one row or more a run."""
+    parts = bodies.withColumns({"part": F.col("gram"), "lo": F.lit(0), "hi": F.lit(width - GRAM), "shift": F.lit(0), "off": F.col("off").cast("int")})
+    out = None
+    while parts is not None:
+        # Tables of their own, so that joins can split the runs of a hot part.
+        large = stage(parts.groupBy("part").count().filter(F.col("count") > group).select(F.col("part").alias("_part")), "runs-large")
+        small, wide = parts, None
+        if not large.isEmpty():
+            marked = parts.join(large, F.col("part") == F.col("_part"), "left")
+            small, wide = marked.filter("_part IS NULL").drop("_part"), marked.filter("_part IS NOT NULL").drop("_part")
+        found = settle_groups(small, width, later_only)
+        parts = None
+        if wide is not None:
+            ends = wide.filter("lo = hi").select("gram", "body", "shift", "bytes", place().alias("p"))
+            met = ends.groupBy("gram", "bytes").agg(F.count("*").alias("n"), F.min("p").alias("least"))
+            met = stage(met.filter("n > 1").select(F.col("gram").alias("_g"), F.col("bytes").alias("_b"), "least"), "runs-ends")
+            hit = ends.join(met, (F.col("gram") == F.col("_g")) & (F.col("bytes") == F.col("_b")))
+            if later_only:
+                hit = hit.filter(F.col("p") != F.col("least"))
+            one = F.array(F.struct(F.col("shift").alias("a"), (F.col("shift") + 1).alias("b")))
+            found = found.unionByName(hit.select("gram", "body", one.alias("found")))
+            parts = stage(halves(wide.filter("lo < hi"), width), "runs-halves")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, later_only: bool = False, group: int = GROUP) -> DataFrame:
-    """(doc_id, text) -> doc_id, mark, n_bytes and spans, the byte ranges to remove, for texts with any."""
+    """(doc_id, text) -> KEY and spans, the byte ranges to remove, for texts with any."""
     runs = stage(runs_of(docs, width), "runs")
-    place = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at")
-    counted = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("body").alias("b0"), F.max("body").alias("b1"), *([F.min(place).alias("least")] if later_only else []))
+    counted = runs.groupBy("gram").agg(F.count("*").alias("n"), F.min("body").alias("b0"), F.max("body").alias("b1"), *([F.min(place()).alias("least")] if later_only else []))
     again = counted.filter("n > 1").select(F.col("gram").alias("_gram"), (F.col("b0") == F.col("b1")).alias("same"), *(["least"] if later_only else []))
     # A table of its own, so that the join can split the runs of a hot anchor over tasks.
     again = stage(again, "runs-grams")
@@ -277,38 +308,37 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, later_only: bool = False
     unstage(runs)
     same = seen.filter("same")
     if later_only:
-        same = same.filter(place != F.col("least"))
+        same = same.filter(place() != F.col("least"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b")))
-    key = ("doc_id", "mark", "n_bytes")
-    settled = same.select(*key, "at", whole.alias("found"))
+    settled = same.select(*KEY, "at", whole.alias("found"))
 
     mixed = seen.filter(~F.col("same"))
-    first = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at", "windows", "off")
+    first = F.struct(F.col("doc_id").isNotNull().alias("k"), *KEY, "at", "windows", "off")
     kinds = mixed.groupBy("gram", "body").agg(F.count("*").alias("copies"), F.min(first).alias("p"))
-    kinds = stage(kinds.select("gram", "body", "copies", "p.doc_id", "p.mark", "p.n_bytes", "p.at", "p.windows", "p.off"), "runs-kinds")
-    sizes = stage(kinds.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > group).select(F.col("gram").alias("_gram")), "runs-large")
-    wanted = kinds.join(sizes, F.col("gram") == F.col("_gram"), "left").withColumn("large", F.col("_gram").isNotNull()).drop("_gram")
-    run_row = F.struct("gram", "body", "copies", "at", "windows", "off", "large")
-    wanted = wanted.groupBy(*key).agg(F.collect_list(run_row).alias("runs"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", text_mark().alias("mark"), F.octet_length("text").alias("n_bytes"))
-    same_text = lambda a: F.col("_d").eqNullSafe(a["doc_id"]) & (F.col("_m") == a["mark"]) & (F.col("_n") == a["n_bytes"])
-    renamed = texts.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("n_bytes").alias("_n"), "text")
-    fetched = renamed.join(wanted, same_text(wanted)).select(*key, "text", F.explode("runs").alias("r"))
+    kinds = stage(kinds.select("gram", "body", "copies", *(F.col(f"p.{c}") for c in (*KEY, "at", "windows", "off"))), "runs-kinds")
+    wanted = kinds.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "body", "at", "windows", "off")).alias("runs"))
+    wanted = wanted.select(*(F.col(c).alias(f"_{c}") for c in KEY), "runs")
+    fetched = keyed(docs).join(wanted, same_row()).select(*KEY, "text", F.explode("runs").alias("r"))
     body = F.substring(F.col("text").cast("binary"), F.col("r.at") + 1, F.col("r.windows") + F.lit(width - 1))
     # Rows that repeat give the same runs again; one of each stays.
-    bodies = fetched.select("r.gram", "r.body", "r.copies", "r.at", "r.off", "r.large", *key, body.alias("bytes")).dropDuplicates(["gram", "body"])
-    bodies = stage(bodies, "runs-bodies")
-    found = settle_groups(bodies.filter("NOT large"), width, later_only).unionByName(settle_large(bodies.filter("large"), width, later_only))
+    bodies = fetched.select("r.gram", "r.body", "r.at", "r.off", *KEY, body.alias("bytes")).dropDuplicates(["gram", "body"])
+    found = settle_parts(stage(bodies, "runs-bodies"), width, later_only, group)
     found = stage(found.select(F.col("gram").alias("_g"), F.col("body").alias("_b"), "found"), "runs-found")
-    named = kinds.select(F.col("gram").alias("_gram"), F.col("body").alias("_body"), "copies", F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "mark", "n_bytes", "at").alias("p"))
+    named = kinds.select(F.col("gram").alias("_gram"), F.col("body").alias("_body"), "copies", place().alias("p"))
     told = stage(named.join(found, (F.col("_gram") == F.col("_g")) & (F.col("_body") == F.col("_b")), "left").drop("_g", "_b"), "runs-told")
     back = mixed.drop("same", "least").join(told, (F.col("gram") == F.col("_gram")) & (F.col("body") == F.col("_body")))
-    full = (place != F.col("p")) if later_only else (F.col("copies") > 1)
-    mixed_found = back.select(*key, "at", F.when(full, whole).otherwise(F.col("found")).alias("found")).filter("found IS NOT NULL")
+    full = (place() != F.col("p")) if later_only else (F.col("copies") > 1)
+    mixed_found = back.select(*KEY, "at", F.when(full, whole).otherwise(F.col("found")).alias("found")).filter("found IS NOT NULL")
 
     span = F.transform("found", lambda s: F.struct((F.col("at") + s["a"]).alias("a"), (F.col("at") + s["b"] + F.lit(width - 1)).alias("b")))
-    spans = settled.unionByName(mixed_found).select(*key, F.explode(span).alias("s"))
-    return stage(spans.groupBy(*key).agg(F.collect_list("s").alias("spans")), "runs-spans")
+    spans = settled.unionByName(mixed_found).select(*KEY, F.explode(span).alias("s"))
+    # A set: rows that repeat give the same spans again.
+    return stage(spans.groupBy(*KEY).agg(F.collect_set("s").alias("spans")), "runs-spans")
+
+
+def same_row() -> Column:
+    """The join of KEY with the same columns named with an underscore."""
+    return F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("m1") == F.col("_m1")) & (F.col("m2") == F.col("_m2")) & (F.col("n_bytes") == F.col("_n_bytes"))
 
 
 def cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
@@ -331,14 +361,13 @@ def whole_characters(kept: bytes) -> str:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, later_only: bool = False, digest: bool = False) -> DataFrame:
     """The columns of docs with the repeats cut out of text and n_removed, n_spans; with ``digest``
     (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of the exact bytes instead."""
-    spans = repeated_spans(docs, width, later_only).toDF("_sd", "_sm", "_sn", "_spans")
+    spans = repeated_spans(docs, width, later_only).toDF(*(f"_{c}" for c in KEY), "_spans")
     docs = docs.drop("n_removed", "n_spans")
     others = [] if digest else [c for c in docs.columns if c != "text"]
     kept = {f"_c{i}": c for i, c in enumerate(others)}
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("_d"), *[F.col(c).alias(k) for k, c in kept.items()])
-    rows = rows.withColumns({"_m": text_mark(), "_n": F.octet_length("text")})
-    joined = rows.join(spans, F.col("_d").eqNullSafe(F.col("_sd")) & (F.col("_m") == F.col("_sm")) & (F.col("_n") == F.col("_sn")), "left")
-    joined = joined.select("text", "_spans", "_d", *kept)
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", *[F.col(c).alias(k) for k, c in kept.items()])
+    rows = rows.withColumns({"m1": F.xxhash64("text"), "m2": F.xxhash64(F.lit(1), "text"), "n_bytes": F.octet_length("text")})
+    joined = rows.join(spans, same_row(), "left").select("text", "_spans", "doc_id", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
