@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space. ``bytes.split()`` cuts at the same six bytes.
@@ -70,6 +71,23 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._tickloom_shipped = True
 
 
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of a table read from files and ``name``: each row's number in the order of the files and of
+    the rows in them, which is the order in which the table was written. Reading alone loses that order, as
+    files are packed by size. A DataFrame that is no such table is written first."""
+    try:
+        marked = docs.select(*docs.columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        docs = stage(docs, "placed")
+        marked = docs.select(*docs.columns, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # One row a file; files are numbered in the order of the partitions that wrote them.
+    files = marked.groupBy("_file").agg(F.max("_row").alias("_last"))
+    order = Window.orderBy(F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = stage(files.select(F.col("_file").alias("_name"), F.coalesce(F.sum(F.col("_last") + 1).over(order), F.lit(0)).alias("_before")), "files")
+    rows = marked.join(F.broadcast(files), F.col("_file") == F.col("_name"))
+    return rows.select(*docs.columns, (F.col("_before") + F.col("_row")).alias(name))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

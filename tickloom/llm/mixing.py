@@ -10,8 +10,11 @@ Everything is DataFrame work. A source may hold a third of all rows, so running
 levels: sums per (source, hash bucket), then within a bucket; no task sees a whole source.
 
 Edge cases: a null source is a source of its own, last in order; a null text has size 0; documents of
-size 0 have no copies, so they are planned but not in the training order; repeated rows are taken on their own; an empty table gives an empty result; columns whose names begin with ``_mix`` are
-the operator's own and are dropped from its input."""
+size 0 have no copies, so they are planned but not in the training order; rows of one doc_id are ordered by
+size and text, rows without one by text alone, so that reruns take the same ones; repeated rows are taken on
+their own; an empty table gives an empty result; columns whose names begin with ``_mix`` are the operator's
+own and are dropped from its input. Targets are worked out in one task, a row a source: sources are the
+thousands of collections that a mix weighs, not hosts."""
 
 from __future__ import annotations
 
@@ -69,23 +72,27 @@ def inverse_demand(x: Column, phases: Sequence[float]) -> Column:
     return out / F.lit(float(len(phases)))
 
 
-def plan_mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, max_repeats: int = 3, schedules: Sequence[Sequence[float]] = SCHEDULES, whole: bool = False) -> DataFrame:
+def plan_mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, max_repeats: int = 3, schedules: Sequence[Sequence[float]] = SCHEDULES, whole: bool = False, tie: Column | None = None) -> DataFrame:
     """The columns of ``docs`` and: size, source_size, target, and copies, an array of
-    (copy, words, position) for each time that the mix takes the document.
+    (copy, words, position) for each time that the mix takes the document. ``tie`` orders rows of one doc_id
+    (the text's hash, unless given).
 
     whole=False cuts a source's last document at the target, so that taken words equal the target
     rounded down; whole=True takes a document if its middle lies below the target."""
     docs = docs.select(*[c for c in docs.columns if not c.startswith("_mix")])
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = docs.withColumn("_mix_size", size).withColumn("_mix_key", key).withColumn("_mix_bucket", F.substring("_mix_key", 1, BUCKET_DIGITS))
-    buckets = stage(rows.groupBy(F.col("source").alias("_mix_source"), "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_words")), "mix-buckets")
+    tie = F.md5(F.coalesce("text", F.lit(""))) if tie is None else tie
+    rows = docs.withColumns({"_mix_size": size, "_mix_tie": tie, "_mix_s": F.coalesce("source", F.lit("")), "_mix_null": F.col("source").isNull()})
+    rows = rows.withColumn("_mix_key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.col("_mix_tie"))).withColumn("_mix_bucket", F.substring("_mix_key", 1, BUCKET_DIGITS))
+    part = ["_mix_s", "_mix_null", "_mix_bucket"]
+    buckets = stage(rows.groupBy(F.col("source").alias("_mix_source"), *part).agg(F.sum("_mix_size").alias("_mix_words")), "mix-buckets")
     targets = source_targets(buckets.groupBy("_mix_source").agg(F.sum("_mix_words").alias("_mix_total")), weights, max_repeats)
     upto = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("_mix_source", F.col("_mix_bucket").alias("_mix_b"), F.coalesce(F.sum("_mix_words").over(upto), F.lit(0)).alias("_mix_offset"))
+    offsets = buckets.select("_mix_source", *part, F.coalesce(F.sum("_mix_words").over(upto), F.lit(0)).alias("_mix_offset"))
     t = targets.withColumnRenamed("_mix_source", "_mix_t")
-    offsets = offsets.join(t, F.col("_mix_source").eqNullSafe(F.col("_mix_t"))).drop("_mix_t")
-    joined = rows.join(offsets, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_b")))
-    within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.join(t, F.col("_mix_source").eqNullSafe(F.col("_mix_t"))).drop("_mix_t", "_mix_source")
+    # Join and window share their keys, so texts are dealt once for both.
+    joined = rows.join(offsets, part)
+    within = Window.partitionBy(*part).orderBy("_mix_key", "_mix_size", "_mix_tie").rowsBetween(Window.unboundedPreceding, -1)
     joined = joined.withColumn("_mix_at", F.col("_mix_offset") + F.coalesce(F.sum("_mix_size").over(within), F.lit(0)))
     goal, n = F.floor("_mix_target"), F.col("_mix_size")
 
@@ -100,28 +107,28 @@ def plan_mix(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, ma
         return F.struct(k.cast("int").alias("copy"), words.cast("long").alias("words"), F.when(words > 0, position).alias("position"))
 
     copies = F.filter(F.transform(F.array(*[F.lit(k).cast("long") for k in range(max_repeats)]), copy), lambda c: c["words"] > 0)
-    return joined.select(*docs.columns, n.alias("_mix_n"), F.col("_mix_total"), F.col("_mix_target"), F.col("_mix_key"), copies.alias("_mix_copies"))
+    return joined.select(*docs.columns, n.alias("_mix_n"), F.col("_mix_total"), F.col("_mix_target"), "_mix_key", "_mix_tie", copies.alias("_mix_copies"))
 
 
 def training_order(plan: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row for each copy that the mix takes, range-sorted by training position; documents of size 0 have none."""
-    rows = plan.select(*columns, "_mix_key", F.explode("_mix_copies").alias("_mix_copy"))
-    return rows.orderBy(F.col("_mix_copy.position"), "_mix_key", F.col("_mix_copy.copy")).select(*columns)
+    rows = plan.select(*columns, "_mix_key", "_mix_tie", F.explode("_mix_copies").alias("_mix_copy"))
+    return rows.orderBy(F.col("_mix_copy.position"), "_mix_key", "_mix_tie", F.col("_mix_copy.copy")).select(*columns)
 
 
 def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), "mix-sizes")
-    plan = plan_mix(sized, F.col("_size"))
+    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), F.md5(F.coalesce("text", F.lit(""))).alias("_tie")), "mix-sizes")
+    plan = plan_mix(sized, F.col("_size"), tie=F.col("_tie"))
     taken = F.aggregate("_mix_copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
     first = F.array_min(F.transform("_mix_copies", lambda c: c["position"]))
-    out = plan.select("doc_id", F.col("_mix_n").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"), F.size("_mix_copies").cast("long").alias("copies"), first.alias("position"), "_mix_key")
-    return out.orderBy(F.col("position").asc_nulls_last(), "_mix_key").drop("_mix_key")
+    out = plan.select("doc_id", F.col("_mix_n").alias("size"), F.col("_mix_total").alias("source_size"), F.col("_mix_target").alias("target"), taken.alias("taken"), F.size("_mix_copies").cast("long").alias("copies"), first.alias("position"), "_mix_key", "_mix_tie")
+    return out.orderBy(F.col("position").asc_nulls_last(), "_mix_key", "_mix_tie").drop("_mix_key", "_mix_tie")
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, coalesce(md5(CAST(doc_id AS VARCHAR)), md5(coalesce(text, ''))) AS k, md5(coalesce(text, '')) AS tie,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM d GROUP BY source),
@@ -133,7 +140,7 @@ g AS (SELECT *, row_number() OVER o AS rk,
       FROM f WINDOW o AS (ORDER BY full_at, (source IS NULL), source)),
 h AS (SELECT source, total, cls, least(CAST(3 * total AS DOUBLE), CAST(w AS DOUBLE) * (SELECT arg_min(lvl, rk) FROM g WHERE lvl <= full_at)) AS target FROM g),
 p AS (SELECT d.doc_id, d.size, h.total, h.cls, h.target, CAST(floor(h.target) AS BIGINT) AS goal,
-        CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+        CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size, d.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
       FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
 c AS (SELECT *, greatest(0, least(size, goal - place)) AS w0, greatest(0, least(size, goal - place - total)) AS w1,
              greatest(0, least(size, goal - place - 2 * total)) AS w2 FROM p),

@@ -203,25 +203,29 @@ def _decoded(lattice: PieceLattice, ids: np.ndarray, sizes: np.ndarray) -> list[
     return [pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(lattice.spell(ids, sizes), pa.binary()).cast(pa.string())]
 
 
-def _keyed(docs: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
+def _keyed(docs: DataFrame, carry: tuple[str, ...], key: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
     """(text, seed, carried columns under names of our own), those names, and their part of the schema."""
     kept = ["doc_id", *carry]
     names = [f"c{i}" for i in range(len(kept))]
     ddl = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, kept))
-    return docs.select("text", F.xxhash64("doc_id").alias("_seed"), *kept).toDF("text", "_seed", *names), names, ddl
+    return docs.select("text", F.xxhash64(*key).alias("_seed"), *kept).toDF("text", "_seed", *names), names, ddl
 
 
-def encode_pieces(docs: DataFrame, path: str, theta: float = THETA, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text) -> (doc_id, carried columns, ids): one sampled segmentation, seeded by doc_id."""
-    rows, names, ddl = _keyed(docs, carry)
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids))
+
+
+def encode_pieces(docs: DataFrame, path: str, theta: float = THETA, carry: tuple[str, ...] = (), key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, text) -> (doc_id, carried columns, ids): one sampled segmentation, seeded by the row's ``key``."""
+    ship(docs.sparkSession)
+    rows, names, ddl = _keyed(docs, carry, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(path, theta)
         for batch in batches:
             for part in slices(batch, 256):
                 ids, sizes = _encoded(lattice, part.column(0), part.column(1))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], lists], [*names, "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], _lists(ids, sizes)], [*names, "ids"])
 
     return rows.mapInArrow(tidied(run), f"{ddl}, ids array<int>").toDF("doc_id", *carry, "ids")
 
@@ -242,19 +246,21 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {kind}, n_pieces long, pieces_crc32 long, decoded string")
 
 
-def round_trip(docs: DataFrame, path: str, theta: float = THETA) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_pieces, pieces_crc32, decoded): encode_pieces and decode_pieces in one
-    worker, for checks that need no ids outside it (two chained functions would keep two workers a core)."""
-    rows, names, ddl = _keyed(docs, ())
+def round_trip(docs: DataFrame, path: str, theta: float = THETA, carry: tuple[str, ...] = (), key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, text) -> (doc_id, carried columns, ids, n_pieces, pieces_crc32, decoded): encode_pieces and
+    decode_pieces in one worker (two chained functions would keep two workers a core)."""
+    ship(docs.sparkSession)
+    rows, names, ddl = _keyed(docs, carry, key)
+    made = ["ids", "n_pieces", "pieces_crc32", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(path, theta)
         for batch in batches:
             for part in slices(batch, 256):
                 ids, sizes = _encoded(lattice, part.column(0), part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(2), *_decoded(lattice, ids, sizes)], [*names, "n_pieces", "pieces_crc32", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], _lists(ids, sizes), *_decoded(lattice, ids, sizes)], [*names, *made])
 
-    return rows.mapInArrow(tidied(run), f"{ddl}, n_pieces long, pieces_crc32 long, decoded string").toDF("doc_id", "n_pieces", "pieces_crc32", "decoded")
+    return rows.mapInArrow(tidied(run), f"{ddl}, ids array<int>, n_pieces long, pieces_crc32 long, decoded string").toDF("doc_id", *carry, *made)
 
 
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
