@@ -17,7 +17,7 @@ copies, are removed from the texts; windows are judged on the input, never on wh
    previous factor. Suffixes with a source are later copies; with the sources, they are all that repeats.
    An anchor with over ``GROUP`` surroundings is split by what lies next to it, again and again: a window
    has the anchor in its left or in its right half, so windows of each half can only equal those that share
-   the bytes on the other side. A half of a half ends at windows of one offset, which meet by their bytes.
+   the bytes on the other side. Of equal halves one goes on.
 4. Spans are joined back to the texts.
 
 Rows are told apart by doc_id, size and 128 bits of hashes of the text; equal rows are one.
@@ -261,10 +261,12 @@ def settle_groups(parts: DataFrame, width: int, later_only: bool) -> DataFrame:
 def halves(parts: DataFrame, width: int) -> DataFrame:
     """Each part's windows whose anchor has ``lo`` to ``hi`` bytes before it, as two parts of half that range;
     all of a part share the bytes around the anchor that all those windows have."""
+    last = F.length("bytes") - F.lit(width)
     middle = F.expr("(lo + hi + 1) div 2").cast("int")
     both = F.array(F.struct(middle.alias("lo"), F.col("hi").alias("hi")), F.struct(F.col("lo").alias("lo"), (middle - 1).alias("hi")))
+    both = F.filter(both, lambda h: F.greatest(F.lit(0), F.col("off") - h["hi"]) <= F.least(last, F.col("off") - h["lo"]))
     rows = parts.withColumn("half", F.explode(both)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half", "part")
-    rows = rows.withColumns({"a": F.greatest(F.lit(0), F.col("off") - F.col("hi")), "b": F.least(F.length("bytes") - F.lit(width), F.col("off") - F.col("lo"))}).filter("a <= b")
+    rows = rows.withColumns({"a": F.greatest(F.lit(0), F.col("off") - F.col("hi")), "b": F.least(last, F.col("off") - F.col("lo"))})
     rows = rows.withColumns({"bytes": F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + F.lit(width)), **{c: F.col(c) + F.col("a") for c in ("shift", "at")}, "off": F.col("off") - F.col("a")})
     shared = F.substring("bytes", F.col("off") - F.col("lo") + 1, F.lit(width) + F.col("lo") - F.col("hi"))
     return rows.withColumn("part", F.xxhash64("gram", "lo", "hi", shared)).drop("a", "b")
@@ -274,27 +276,25 @@ def settle_parts(bodies: DataFrame, width: int, later_only: bool, group: int) ->
     """(gram, body, off, KEY, at, bytes) -> (gram, body) and stretches of windows, one row or more a run."""
     parts = bodies.withColumns({"part": F.col("gram"), "lo": F.lit(0), "hi": F.lit(width - GRAM), "shift": F.lit(0), "off": F.col("off").cast("int")})
     out = None
-    while parts is not None:
+    while True:
         # Tables of their own, so that joins can split the runs of a hot part.
-        large = stage(parts.groupBy("part").count().filter(F.col("count") > group).select(F.col("part").alias("_part")), "runs-large")
-        small, wide = parts, None
-        if not large.isEmpty():
-            marked = parts.join(large, F.col("part") == F.col("_part"), "left")
-            small, wide = marked.filter("_part IS NULL").drop("_part"), marked.filter("_part IS NOT NULL").drop("_part")
-        found = settle_groups(small, width, later_only)
-        parts = None
-        if wide is not None:
-            ends = wide.filter("lo = hi").select("gram", "body", "shift", "bytes", place().alias("p"))
-            met = ends.groupBy("gram", "bytes").agg(F.count("*").alias("n"), F.min("p").alias("least"))
-            met = stage(met.filter("n > 1").select(F.col("gram").alias("_g"), F.col("bytes").alias("_b"), "least"), "runs-ends")
-            hit = ends.join(met, (F.col("gram") == F.col("_g")) & (F.col("bytes") == F.col("_b")))
-            if later_only:
-                hit = hit.filter(F.col("p") != F.col("least"))
-            one = F.array(F.struct(F.col("shift").alias("a"), (F.col("shift") + 1).alias("b")))
-            found = found.unionByName(hit.select("gram", "body", one.alias("found")))
-            parts = stage(halves(wide.filter("lo < hi"), width), "runs-halves")
+        sizes = parts.filter("lo < hi").groupBy("part").count()
+        large = stage(sizes.filter(F.col("count") > group).select(F.col("part").alias("_part")), "runs-large")
+        if large.isEmpty():
+            found = settle_groups(parts, width, later_only)
+            return found if out is None else out.unionByName(found)
+        marked = parts.join(large, F.col("part") == F.col("_part"), "left")
+        found = settle_groups(marked.filter("_part IS NULL"), width, later_only)
         out = found if out is None else out.unionByName(found)
-    return out
+        split = stage(halves(marked.filter("_part IS NOT NULL").drop("_part"), width).withColumns({"same": F.xxhash64("bytes"), "p": place()}), "runs-halves")
+        # Of the same bytes, all are repeated and all but the first are later copies; the first one goes on.
+        met = split.groupBy("part", "same").agg(F.count("*").alias("n"), F.min("p").alias("least")).filter("n > 1")
+        met = stage(met.select(F.col("part").alias("_part"), F.col("same").alias("_same"), "least"), "runs-same")
+        split = split.join(met, (F.col("part") == F.col("_part")) & (F.col("same") == F.col("_same")), "left")
+        windows = F.array(F.struct(F.col("shift").alias("a"), (F.col("shift") + F.length("bytes") - F.lit(width - 1)).alias("b")))
+        copies = split.filter("p != least" if later_only else "least IS NOT NULL")
+        out = out.unionByName(copies.select("gram", "body", windows.alias("found")))
+        parts = stage(split.filter("least IS NULL OR p = least").drop("_part", "_same", "least", "same", "p"), "runs-firsts")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, later_only: bool = False, group: int = GROUP) -> DataFrame:
