@@ -53,6 +53,78 @@ def test_media_variable_sizes_wide_offsets_and_no_sync_table():
     assert media.stored_bytes(data, found) == body and found["sync"].tolist() == [0, 1, 2] and found["duration"] == 15
 
 
+def plain_boxes(data, path=()):
+    """type path -> content, by a reader of its own."""
+    out, at = {}, 0
+    while at < len(data):
+        size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + size]
+        out[(*path, kind)] = body
+        if kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            out.update(plain_boxes(body, (*path, kind)))
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 5, 32, 33, 100])
+def test_media_against_a_plain_reader(n):
+    payload = bytes(range(256)) * 32
+    payload = payload[: 64 * n] if 64 * n <= len(payload) else payload * 8
+    payload = payload[: 64 * n]
+    boxes = plain_boxes(data := media.write_media(payload))
+    stbl = (b"moov", b"trak", b"mdia", b"minf", b"stbl")
+    word = lambda kind, i: int.from_bytes(boxes[*stbl, kind][4 + 4 * i : 8 + 4 * i], "big")
+    assert (word(b"stsz", 0), word(b"stsz", 1)) == (64, n) and boxes[*stbl, b"stsd"][12:16] == b"raw " and boxes[(b"mdat",)] == payload
+    chunks = [word(b"stco", 1 + i) for i in range(word(b"stco", 0))]
+    runs = [[word(b"stsc", 1 + 3 * r + i) for i in range(3)] for r in range(word(b"stsc", 0))]
+    per = [next(r[1] for r in reversed(runs) if r[0] <= c + 1) for c in range(len(chunks))]
+    samples = [(at + 64 * i, 64) for at, k in zip(chunks, per) for i in range(k)]
+    found = media.probe(data)
+    assert samples == list(zip(found["offsets"].tolist(), found["sizes"].tolist())) and b"".join(data[a : a + s] for a, s in samples) == payload
+
+
+def nested(n):
+    data = b""
+    for _ in range(n):
+        data = media.box(b"moov", data)
+    return data
+
+
+def test_hostile_media():
+    good = media.write_media(bytes(range(64)) * 40)
+    at = lambda kind: good.index(kind) + 4
+    put = lambda where, value: good[:where] + value + good[where + len(value) :]
+    bad = [
+        nested(1500),
+        put(at(b"stsz") + 8, b"\xff" * 4),
+        put(at(b"stco") + 8, (len(good) - 100).to_bytes(4, "big")),
+        put(at(b"stco") + 8, b"\0\0\0\4"),
+        put(at(b"stsc") + 12, b"\xff" * 4),
+        put(at(b"stts") + 8, b"\xff" * 4),
+        put(at(b"stss") + 8, b"\0\0\xff\xff"),
+        put(at(b"stco") + 4, b"\xff" * 4),
+        good[:-1],
+        b"\0\0\0\1moov",
+    ]
+    for data in bad:
+        assert set(media._row(data)) == {"media_bytes", "media_sha256"}
+    assert media._row(good)["payload_bytes"] == 2560
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.integers(1, 70), st.lists(st.tuples(st.integers(0, 900), st.integers(0, 255)), min_size=1, max_size=6))
+def test_flipped_bytes_give_a_defined_row(n, flips):
+    data = bytearray(media.write_media(bytes(64) * n))
+    start = data.index(b"mdat") + 4
+    data[start:] = b"P" * (len(data) - start)
+    for where, value in flips:
+        data[where % start] = value
+    row = media._row(bytes(data))
+    if "codec" in row:
+        found = media.probe(bytes(data))
+        assert set(media.stored_bytes(bytes(data), found)) <= {ord("P")} and row["payload_bytes"] <= 64 * n
+
+
 def test_media_columns(spark):
     stored = media.to_media(frame(spark, TEXTS, media="clash"))
     got = {r.doc_id: r for r in media.probe_media(stored).collect()}

@@ -7,8 +7,10 @@ by the tables and never decoded.
 
 Edge cases: a null text is the empty text, stored as one block of zeros; texts of a multiple of 64 bytes
 get no padding; repeated rows give repeated results; an empty table gives no rows; a null or broken media
-value gives null features from ``probe_media`` (field ``codec`` null); other columns are carried along by
-``to_media`` only when asked for."""
+value (tables that contradict each other or the file, samples outside the media data, boxes nested deeper
+than DEPTH, no samples) gives its size and digest and null features from ``probe_media``, never an error and
+never bytes from outside ``mdat``; of several tracks the first is read; fragmented files (``moof``) are not
+read and count as broken; other columns are not carried along."""
 
 from __future__ import annotations
 
@@ -25,7 +27,8 @@ from tickloom.llm.common import raw_texts, ship, slices, table, tidied
 
 #: 64 samples of one byte make a media sample; every 16th is marked as a sync sample; 32 make a chunk.
 BLOCK, SYNC_EVERY, PER_CHUNK, RATE = 64, 16, 32, 8000
-#: Boxes that hold boxes.
+#: Boxes that hold boxes, and how deep.
+DEPTH = 16
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex"}
 #: The identity matrix of movie and track headers.
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -81,57 +84,93 @@ def write_media(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(len(ftyp) + len(moov(0)) + head), box(b"mdat", payload)))
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of box types, first byte, end) of every box's content, depth first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: memoryview) -> Iterator[tuple[tuple, int, int]]:
+    """(path of box types, first byte, end) of every box's content, depth first; boxes nest DEPTH deep at most."""
+    todo: list[tuple[tuple, int, int]] = [((), 0, len(data))]
+    while todo:
+        path, start, end = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
+            if start + 16 > end:
+                raise ValueError(f"box {kind!r} has no room for its size")
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} leaves its parent")
         here = (*path, kind)
+        if len(here) > DEPTH:
+            raise ValueError("boxes nest too deep")
         yield here, start + head, start + size
+        todo.append((path, start + size, end))
         if kind in NESTED:
-            yield from walk(data, start + head, start + size, here)
-        start += size
+            todo.append((here, start + head, start + size))
+
+
+def entries(view: memoryview, a: int, b: int, kind: str, columns: int = 1) -> np.ndarray:
+    """A counted table that fills the box at a..b; a count that the box has no room for is an error."""
+    n, width = struct.unpack_from(">I", view[a:b], 4)[0], np.dtype(kind).itemsize * columns
+    if a + 8 + n * width > b:
+        raise ValueError("a table leaves its box")
+    out = np.frombuffer(view[a + 8 : a + 8 + n * width], kind).reshape(-1, columns)
+    if kind == ">u8" and (out >= 1 << 63).any():
+        raise ValueError("an offset beyond any file")
+    return out.astype(np.int64)
 
 
 def probe(data: bytes) -> dict:
-    """Codec, timescale, duration, sample offsets and sizes, sync samples: from headers and tables alone."""
-    view, out, t = memoryview(data), {}, {}
+    """Codec, timescale, duration, sample offsets and sizes, sync samples of the first track: from headers and
+    tables alone. Tables that contradict each other or the file raise an error; nothing is allocated before
+    its count is held against the bytes that there are."""
+    view, out, t, tracks, stored = memoryview(data), {}, {}, 0, []
     for path, a, b in walk(view):
-        kind = path[-1]
-        if kind == b"mdhd":
-            v1 = view[a] == 1
-            out["timescale"], out["duration"] = struct.unpack_from(">IQ" if v1 else ">II", view, a + (20 if v1 else 12))
+        kind, box_ = path[-1], view[a:b]
+        tracks += path == (b"moov", b"trak")
+        if path == (b"mdat",):
+            stored.append((a, b))
+        elif kind == b"moof":
+            raise ValueError("fragments are not read")
+        elif tracks != 1:
+            continue
+        elif kind == b"mdhd":
+            v1 = bytes(box_[:1]) == b"\1"
+            out["timescale"], out["duration"] = struct.unpack_from(">IQ" if v1 else ">II", box_, 20 if v1 else 12)
         elif kind == b"stsd":
-            out["codec"] = bytes(view[a + 12 : a + 16]).decode("latin-1")
+            out["codec"] = struct.unpack_from("4s", box_, 12)[0].decode("latin-1")
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = np.frombuffer(view[a + 8 : b], ">u4" if kind == b"stco" else ">u8").astype(np.int64)
+            t["chunks"] = entries(view, a, b, ">u4" if kind == b"stco" else ">u8")[:, 0]
         elif kind == b"stsc":
-            t["runs"] = np.frombuffer(view[a + 8 : b], ">u4").reshape(-1, 3).astype(np.int64)
+            t["runs"] = entries(view, a, b, ">u4", 3)
         elif kind == b"stsz":
-            same, n = struct.unpack_from(">II", view, a + 4)
-            t["sizes"] = np.full(n, same, np.int64) if same else np.frombuffer(view[a + 12 : b], ">u4").astype(np.int64)
+            same, n = struct.unpack_from(">II", box_, 4)
+            if n * (same or 4) > len(data):
+                raise ValueError("more samples than bytes")
+            t["sizes"] = np.full(n, same, np.int64) if same else entries(view, a + 4, b, ">u4")[:, 0]
         elif kind == b"stts":
-            t["times"] = np.frombuffer(view[a + 8 : b], ">u4").reshape(-1, 2).astype(np.int64)
+            t["times"] = entries(view, a, b, ">u4", 2)
         elif kind == b"stss":
-            t["sync"] = np.frombuffer(view[a + 8 : b], ">u4").astype(np.int64) - 1
-    sizes, chunks = t["sizes"], t["chunks"]
-    upto = np.append(t["runs"][1:, 0] - 1, len(chunks))
-    per = np.repeat(t["runs"][:, 1], upto - (t["runs"][:, 0] - 1))
+            t["sync"] = entries(view, a, b, ">u4")[:, 0] - 1
+    sizes, chunks, runs, times = t["sizes"], t["chunks"], t["runs"], t["times"]
+    n = len(sizes)
+    upto = np.append(runs[1:, 0] - 1, len(chunks))
+    in_run = upto - (runs[:, 0] - 1)
+    if n == 0 or len(runs) == 0 or runs[0, 0] != 1 or (in_run <= 0).any() or int((in_run * runs[:, 1]).sum()) != n or int(times[:, 0].sum()) != n or out["duration"] >= 1 << 63:
+        raise ValueError("tables of different samples")
+    per = np.repeat(runs[:, 1], in_run)
     chunk = np.repeat(np.arange(len(chunks)), per)
     before = np.cumsum(sizes) - sizes
-    first = np.cumsum(per) - per
-    out["offsets"] = chunks[chunk] + before - before[first][chunk]
-    out["sizes"] = sizes
-    out["sync"] = t.get("sync", np.arange(len(sizes)))
-    out["decode_ticks"] = int((t["times"][:, 0] * t["times"][:, 1]).sum())
-    return out
+    at = chunks[chunk] + before - np.repeat(before[np.minimum(np.cumsum(per) - per, n - 1)], per)
+    sync = t.get("sync", np.arange(n))
+    first, end = np.array(stored or [(0, 0)], np.int64).T
+    inside = np.searchsorted(first, at, "right") - 1
+    if int(sizes.sum()) > len(data) or (at < first[0]).any() or (at + sizes > end[inside]).any():
+        raise ValueError("samples outside the stored bytes")
+    if len(sync) and (sync[0] < 0 or sync[-1] >= n or (np.diff(sync) <= 0).any()):
+        raise ValueError("sync samples that are none")
+    return out | {"offsets": at, "sizes": sizes, "sync": sync, "decode_ticks": int((times[:, 0] * times[:, 1]).sum()), "codec": out["codec"], "timescale": out["timescale"]}
 
 
 def stored_bytes(data: bytes, found: dict) -> bytes:
@@ -166,12 +205,12 @@ def _row(media: bytes | None) -> dict:
     try:
         found = probe(media)
         payload = stored_bytes(media, found)
-    except (ValueError, KeyError, IndexError, struct.error):
+    except (ValueError, KeyError, struct.error):
         return {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
     at, sizes, sync = found["offsets"], found["sizes"], found["sync"]
     ranges = np.stack([at[sync], sizes[sync]], 1)
     ms = found["duration"] * 1000 // max(1, found["timescale"])
-    feature = f"{found['codec'].strip()};ms={ms};samples={len(sizes)};keys={len(sync)};first={at[0]}+{sizes[0]};last_key={ranges[-1, 0]}+{ranges[-1, 1]};ranges={zlib.crc32(ranges.astype('<i8').tobytes()):08x}"
+    feature = f"{found['codec'].strip()};ms={ms};samples={len(sizes)};keys={len(sync)};first={at[0]}+{sizes[0]};last_key={'+'.join(map(str, ranges[-1].tolist())) if len(ranges) else '-'};ranges={zlib.crc32(ranges.astype('<i8').tobytes()):08x}"
     return {
         "codec": found["codec"], "timescale": found["timescale"], "duration": found["duration"], "n_samples": len(sizes),
         "keyframes": [{"start": a, "length": b} for a, b in ranges.tolist()],
