@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -41,10 +42,22 @@ def test_reversible(spark, turns):
 
 
 def test_long_conversation(spark):
-    rows = [(1, i, ["user", "assistant"][i // 3 % 2], f"turn {i}") for i in range(500)]
+    rows = [(1, i, ["user", "assistant"][i // 3 % 2], f"turn {i}") for i in range(16_000)]
     check(run(spark, rows), rows)
 
 
+def test_work_is_linear_in_the_turns(spark):
+    def seconds(n):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('é text <|x ', id) AS text")
+        start = time.time()
+        got = chat.read_chats(chat.format_chats(rows)).selectExpr("size(turns) AS n", "size(loss_texts) AS loss").first()
+        assert tuple(got) == (n, n - -(-n // 3))
+        return time.time() - start
+
+    seconds(64)
+    assert min(seconds(64_000) for _ in range(2)) < 16 * 3 * min(seconds(4_000) for _ in range(2))
+
+
 def test_empty_table(spark):
     assert run(spark, []) == {}
 

@@ -1,14 +1,14 @@
 """Chat formatting with Spark expressions only.
 
 A conversation's turns are collected as structs and sorted by turn; adjacent turns of one role are
-merged into one block by an array aggregation; blocks are concatenated:
+merged into one block by array aggregations; blocks are concatenated. Work is linear in the turns:
 
     <|im_start|>role\\ntext<|im_next|>text<|im_end|>\\n ...
 
 ``<|im_next|>`` keeps the seam of merged turns, so the output reads back turn by turn. ``&`` and ``<|``
 inside roles and texts are escaped as ``&amp;`` and ``&lt;|`` (a line feed in a role as ``&#10;``), so no
 text can contain a control string and unescaping gives the text back. The loss mask is a list of
-(start, length) spans of code points, one for each assistant text.
+(start, length) spans of UTF-8 bytes, one for each assistant text.
 
 Edge cases: null texts and roles are empty; a null turn sorts first; repeated rows are turns of their
 own; rows with equal turns are ordered by role and text; null conv_id is a conversation; an empty table
@@ -16,12 +16,16 @@ gives no rows. One conversation is one output string and has to fit a row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table
 
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>\n"
+#: Values that a running sum goes over at a time.
+STRETCH = 64
 #: The conversation that the query adds to the table.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -46,37 +50,51 @@ def unescape_role(c: Column) -> Column:
     return unescape(_swap(c, "&#10;", "\n"))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is worked out once, however often lambdas look into it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column) -> Column:
+    """0 and the sums of the first values, for short arrays: every step copies what it has."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def sums_before(values: Column, of: Callable[[Column], Column]) -> Column:
+    """What ``of`` makes of a function from a place (from 0) to the sum of the values before it."""
+    stretches = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(STRETCH)), lambda a: running(F.slice(values, a, F.lit(STRETCH))))
+    sums = lambda parts: let(running(F.transform(parts, lambda x: F.element_at(x, -1))), lambda upto: of(lambda i: F.get(upto, (i / STRETCH).cast("int")) + F.get(F.get(parts, (i / STRETCH).cast("int")), i % STRETCH)))
+    return let(stretches, sums)
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> (conv_id, formatted, loss_spans)."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col("turn").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
     chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"])
-        grown = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(grown))).otherwise(F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))))
-
-    none = F.array().cast("array<struct<role:string,texts:array<string>>>")
-    chats = chats.select("conv_id", F.aggregate("turns", none, merge).alias("blocks"))
-
-    def part(b: Column, t: Column, i: Column) -> Column:
-        head = F.when(i == 0, F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n"))).otherwise(NEXT)
-        tail = F.when(i == F.size(b["texts"]) - 1, END).otherwise("")
-        return F.struct((b["role"] == "assistant").alias("loss"), head.alias("head"), escape(t).alias("body"), tail.alias("tail"))
+    def part(s: Column, t: Column, i: Column) -> Column:
+        """A turn, escaped, with what stands before and after it."""
+        same = lambda j: F.get(s, j)["role"].eqNullSafe(t["role"])
+        head = F.when(same(i - 1), NEXT).otherwise(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")))
+        return F.struct((t["role"] == "assistant").alias("loss"), head.alias("head"), escape(t["text"]).alias("body"), F.when(same(i + 1), "").otherwise(END).alias("tail"))
 
-    parts = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t, i: part(b, t, i))))
-    chats = chats.select("conv_id", parts.alias("parts"))
-    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+    def merged(parts: Column) -> Column:
+        """One string a block: the parts from a head to the next one."""
+        n = F.size(parts)
+        first = lambda i: F.get(parts, i)["head"] != NEXT
+        text = lambda p: F.concat(p["head"], p["body"], p["tail"])
+        block = lambda heads: lambda a, k: F.array_join(F.transform(F.slice(parts, a + 1, F.coalesce(F.get(heads, k + 1), n) - a), text), "")
+        return let(F.filter(F.sequence(F.lit(0), n - 1), first), lambda heads: F.transform(heads, block(heads)))
 
-    def span(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["head"])
-        mine = F.array(F.struct(start.alias("start"), F.length(p["body"]).alias("length")))
-        return F.struct((start + F.length(p["body"]) + F.length(p["tail"])).alias("at"), F.when(p["loss"], F.concat(acc["spans"], mine)).otherwise(acc["spans"]).alias("spans"))
+    def spans(parts: Column) -> Column:
+        size = lambda p: F.octet_length(p["head"]) + F.octet_length(p["body"]) + F.octet_length(p["tail"])
+        span = lambda before: lambda p, i: F.when(p["loss"], F.struct((before(i) + F.octet_length(p["head"]) + 1).alias("start"), F.octet_length(p["body"]).alias("length")))
+        found = let(F.transform(parts, size), lambda sizes: sums_before(sizes, lambda before: F.transform(parts, span(before))))
+        return F.filter(found, lambda x: x.isNotNull())
 
-    joined = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    return chats.select("conv_id", joined.alias("formatted"), F.aggregate("parts", begin, span)["spans"].alias("loss_spans"))
+    told = let(F.transform("turns", lambda t, i: part(F.col("turns"), t, i)), lambda parts: F.struct(F.array_join(merged(parts), "").alias("formatted"), spans(parts).alias("loss_spans")))
+    return chats.select("conv_id", told.alias("told")).select("conv_id", "told.formatted", "told.loss_spans")
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -88,8 +106,8 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         return F.transform(F.split(body, r"<\|im_next\|>", -1), lambda t: F.struct(unescape_role(role).alias("role"), unescape(t).alias("text")))
 
     blocks = F.split("formatted", r"<\|im_start\|>", -1)
-    turns = F.flatten(F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), block))
-    texts = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"], s["length"])))
+    turns = F.flatten(let(blocks, lambda b: F.transform(F.slice(b, F.lit(2), F.size(b)), block)))
+    texts = let(F.col("formatted").cast("binary"), lambda b: F.transform("loss_spans", lambda s: unescape(F.substring(b, s["start"], s["length"]).cast("string"))))
     return formatted.withColumns({"turns": turns, "loss_texts": texts})
 
 
