@@ -45,6 +45,8 @@ class HeapMerger:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
+        if model.get("type") != "BPE" or not self.suffix or not spec.get("normalizer") or "Lowercase" not in json.dumps(spec["normalizer"]):
+            raise ValueError(f"{path} is no lower-casing vocabulary with word ends, which the split by words needs")
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -58,6 +60,8 @@ class HeapMerger:
         """Tokens of one pre-token, given as byte symbols."""
         got = self.known.get(symbols)
         if got is None:
+            if len(symbols) > 64:
+                return self._merge(symbols)
             if len(self.known) >= 200_000:
                 self.known.clear()
             got = self.known[symbols] = self._merge(symbols)
@@ -111,7 +115,10 @@ def _memo(path: str) -> WordMemo:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_bytes, n_tokens, over_limit); ``path`` names the vocabulary file."""
+    """(doc_id, text) -> (doc_id, n_bytes, n_tokens, over_limit); ``path`` names the vocabulary file, of the
+    kind that lower-cases and ends words (others raise ValueError, here and not in a worker)."""
+    ship(docs.sparkSession)
+    HeapMerger(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
@@ -130,5 +137,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 def op2_heap_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ship(spark)
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

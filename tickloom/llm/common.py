@@ -137,6 +137,8 @@ def held(key: tuple, make: Callable):
     return _held[key]
 
 
+#: Bytes of longer words that a memo holds before it forgets them.
+HELD = 32 << 20
 #: Longest word, in bytes, that the memo's table holds as two 64-bit numbers; longer ones go by a dict.
 SHORT = 16
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -194,13 +196,14 @@ class WordMemo:
 
     Words are looked up all at once: an open-addressing table in numpy compares the bytes themselves.
     Bounded: past ``limit`` words only those seen twice or more stay (at most half of the limit, the most
-    frequent ones), so the memory does not follow the corpus and every word stays exact."""
+    frequent ones), and past HELD bytes of words longer than SHORT none of these stay, so the memory does not
+    follow the corpus and every word stays exact."""
 
     def __init__(self, work: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], limit: int = 400_000):
         self.work, self.limit = work, limit
         self.tables: list[Ragged] = []
         self.long: dict[bytes, int] = {}
-        self.n = 0
+        self.n = self.held = 0
         self.keys = np.zeros((1 << 16, 3), np.uint64)
         self.seen = np.zeros(1 << 16, np.int64)
         self.table = np.full(1 << (2 * limit).bit_length(), -1, np.int32)
@@ -210,7 +213,7 @@ class WordMemo:
 
     def slots(self, words: Words) -> np.ndarray:
         """The slots of the words; afterwards ``tables`` hold the work of every slot."""
-        if self.n > self.limit:
+        if self.n > self.limit or self.held > HELD:
             self._shrink()
         starts, lengths = words.starts, words.lengths
         out = np.empty(len(starts), np.int64)
@@ -235,6 +238,7 @@ class WordMemo:
             slot = self.long.get(word)
             if slot is None:
                 slot = self.long[word] = self.n
+                self.held += len(word)
                 self._hold(np.zeros((1, 3), np.uint64))
                 fresh.append(i)
             out[i] = slot
@@ -298,6 +302,8 @@ class WordMemo:
 
     def _shrink(self) -> None:
         seen = self.seen[: self.n]
+        if self.held > HELD:
+            seen[list(self.long.values())] = 0
         keep = np.flatnonzero(seen >= 2)
         if len(keep) > self.limit // 2:
             keep = np.sort(keep[np.argsort(-seen[keep], kind="stable")[: self.limit // 2]])
@@ -310,6 +316,7 @@ class WordMemo:
         self.seen[: len(keep)] = kept
         self.n = len(keep)
         self.long = {w: int(slot_of[s]) for w, s in self.long.items() if slot_of[s] >= 0}
+        self.held = sum(map(len, self.long))
         self.table[:] = -1
         self._place(self.keys[short], short)
         for t in self.tables:

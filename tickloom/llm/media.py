@@ -184,6 +184,7 @@ def stored_bytes(data: bytes, found: dict) -> bytes:
 
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, media)."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,6 +225,7 @@ def probe_media(df: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
+    ship(df.sparkSession)
     names = [f.name for f in StructType.fromDDL(PROBED)]
     types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(PROBED)]
 
@@ -239,6 +241,5 @@ def probe_media(df: DataFrame) -> DataFrame:
 
 
 def op8_media_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     found = probe_media(to_media(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "n_samples")

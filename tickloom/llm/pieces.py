@@ -266,6 +266,5 @@ def round_trip(docs: DataFrame, path: str, theta: float = THETA, carry: tuple[st
 def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ship(spark)
     back = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return back.select("doc_id", F.octet_length("decoded").cast("long").alias("n_bytes"), "n_pieces", "pieces_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))

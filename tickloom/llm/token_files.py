@@ -79,8 +79,11 @@ def encode(texts: list[bytes], memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes + 1
 
 
-def write_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """Encode (doc_id, text) and write doc_id, part, place, n_tokens, ids; gives the table as read back."""
+def write_tokens(docs: DataFrame, path: str, to: str | None = None) -> DataFrame:
+    """Encode (doc_id, text) by the vocabulary file ``path`` and write doc_id, part, place, n_tokens, ids to the
+    folder ``to`` (which must not exist), or to a staged table that goes with the driver; gives the table as read back."""
+
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, place, part = _memo(path), 0, TaskContext.get().partitionId()
@@ -96,7 +99,10 @@ def write_tokens(docs: DataFrame, path: str) -> DataFrame:
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text", tie.alias("_tie")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     encoded = ordered.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, part long, place long, n_tokens long, ids array<int>")
-    return stage(encoded, "tokens", **LAYOUT)
+    if to is None:
+        return stage(encoded, "tokens", **LAYOUT)
+    encoded.write.options(**LAYOUT).parquet(to)
+    return docs.sparkSession.read.schema(encoded.schema).parquet(to)
 
 
 def starts(tokens: DataFrame) -> DataFrame:
@@ -130,7 +136,6 @@ def checksums(tokens: DataFrame) -> DataFrame:
 def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ship(spark)
     tokens = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     found = checksums(tokens).join(starts(tokens), F.col("part") == F.col("_part"))
     return found.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

@@ -10,7 +10,8 @@ text's own function words. Scores are shifted so that a language's threshold bec
 The label sample and the model are the only things that the driver holds; both have fixed sizes. Texts
 are scored whole, in chunks of words, with each word's filter responses memoised in a bounded memory.
 
-Edge cases: null and empty texts are scored as no words; labels that are null are not learned from; with
+Edge cases: null and empty texts are scored as no words; labels that are null are not learned from, nor are
+those of a doc_id that has both (rows that say the same count once); with
 no labelled rows of both classes every score is 0; repeated rows give repeated results; an empty table
 gives no rows. Labels, lang, source and doc_id are no inputs of a score."""
 
@@ -25,13 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import WordMemo, Words, find_words, held, raw_texts, ship, slices, table, tidied
 
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 8, 16, 1 << 18
 TRAIN_PER_CLASS, EPOCHS, BATCH, CUT = 2000, 12, 32, 0.7
+#: Most bytes of the labelled texts that training takes.
+TRAIN_BYTES = 64 << 20
 #: Texts that an embedding row needs; how much more a clean text counts than a toxic one at a threshold.
 MIN_TEXTS, CLEAN_WEIGHT = 3, 4
 PAD, CHUNK = 3, 1 << 16
@@ -253,17 +256,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[bytes], np.ndarray]:
-    """At most ``per_class`` labelled texts of each class, by hash of doc_id, none of them held out."""
+    """At most ``per_class`` labelled texts of each class, by hash of doc_id, none of them held out, and of
+    these as many as have TRAIN_BYTES together, which bounds what the driver gets. Texts are whole."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("_toxic")).filter(F.col("_toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("_toxic").alias("_toxic"), F.max("_toxic").alias("_most")).filter("_toxic = _most").drop("_most")
     order = F.md5(F.col("doc_id").cast("string"))
     ids = [known.filter(F.col("_toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
     chosen = ids[0].unionByName(ids[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_toxic", F.coalesce("text", F.lit("")).alias("_text")).orderBy(order, "doc_id", F.md5("_text")).limit(2 * per_class).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_toxic", F.coalesce("text", F.lit("")).alias("_text")).orderBy(order, "doc_id", F.md5("_text")).limit(2 * per_class)
+    upto = Window.orderBy(order, "doc_id", F.md5("_text")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_bytes", F.sum(F.octet_length("_text").cast("long")).over(upto)).filter(F.col("_bytes") <= TRAIN_BYTES).collect()
     return [r["_text"].encode("utf-8") for r in rows], np.array([r["_toxic"] for r in rows], np.float32)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of docs and _score (replaced where docs has one), by text alone."""
+    ship(docs.sparkSession)
     docs = docs.drop("_score")
     if model is None:
         return docs.withColumn("_score", F.lit(0.0))
@@ -323,6 +331,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     found = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
