@@ -303,3 +303,44 @@ def test_refresh_panel_of_three_clocks(spark):
         assert all(r.symbols == ["a", "b", "c"] for r in rows)
         for r, at in zip(rows, picks, strict=True):
             assert r.lps == pytest.approx([math.log(prices[k][i]) for k, i in zip("abc", at)])
+
+
+def test_order_of_tied_rows_does_not_count(spark):
+    rng = np.random.default_rng(4)
+    times = {"a": [0, 1, 1, 2, 2, 4, 5], "b": [0, 1, 1, 1, 3, 4, 4]}
+    ticks = make_ticks(spark, {"a": prices_of(7, 1), "b": prices_of(7, 2)}, times)
+    rows = ticks.collect()
+    last = {}
+    for r in rows:
+        last[r.symbol, r.ts] = max(last.get((r.symbol, r.ts), r), r, key=lambda x: x.seq)
+    single = spark.createDataFrame(list(last.values()), tables.TICKS)
+    for f in (lambda t: async_cov.shifted_covariances(t, 2), async_cov.lead_lag, async_cov.refresh_sync, async_cov.refresh_panel, lambda t: async_cov.overlap_covariance(t).filter("sym_i != sym_j")):
+        want = sorted(map(repr, f(single).collect()))
+        for _ in range(2):
+            mixed = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], tables.TICKS)
+            assert sorted(map(repr, f(mixed).collect())) == want
+    day = {"day": "d"}
+    quotes = [(day["day"], START, 1, 9.0, 11.0), (day["day"], START, 2, 19.0, 21.0), (day["day"], START, 3, 14.0, 15.0)]
+    trades = spark.createDataFrame([("d", START, 9, 10.0)], "day string, ts timestamp_ntz, seq long, price double")
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        q = spark.createDataFrame([quotes[i] for i in order], "day string, ts timestamp_ntz, seq long, bid double, ask double")
+        assert one(liquidity.asof_quotes(trades, q)).bid == 14.0
+        assert one(liquidity.asof_quotes(trades, q.drop("seq"))).bid == 19.0
+
+
+def test_har_and_heavy_values(spark):
+    df, pdf = make_daily(spark)
+    for model in ("CHAR", "CHARQ", "HARJ"):
+        beta = [r.coefficient for r in models.fit_har(df, model).collect()]
+        design = models.har_design(df, model).toPandas().sort_values("day")
+        x = np.column_stack([np.ones(len(design)), design.daily, design.weekly, design.monthly, *([design.extra] if len(beta) == 5 else [])]).astype(float)
+        got = models.har_values(df, model).toPandas().sort_values("day")
+        assert got.fitted.tolist() == pytest.approx((x @ beta).tolist()) and (got.fitted + got.residual).tolist() == pytest.approx(design.y.tolist())
+    est = {(r.equation, r.param): r.estimate for r in models.fit_heavy(df).collect()}
+    paths = models.heavy_paths(df).toPandas().sort_values("day")
+    for column, equation, x in (("conditional_variance", "variance", pdf.ret.to_numpy() ** 2), ("conditional_mean", "rm", pdf.rv.to_numpy())):
+        par = np.array([est[equation, p] for p in ("omega", "alpha", "beta")])
+        assert paths[column].tolist() == pytest.approx(models.recursion(par, x).tolist())
+    lone = {(r.equation, r.param): r.log_likelihood for r in models.fit_heavy(df, rm_starting=(0.2, 0.2, 0.5), multi_start=False).collect()}
+    assert lone["rm", "alpha"] <= max(r.log_likelihood for r in models.fit_heavy(df).collect() if r.equation == "rm") + 1e-6
+    assert models.heavy_paths(df.limit(2)).count() == 0

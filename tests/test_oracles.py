@@ -1,23 +1,28 @@
-"""Every engine query with an oracle, on the smallest tables: short series trigger most guards there."""
+"""Every engine query with an oracle, on the smallest tables: short series trigger most guards there. Regressions
+need more days than those have."""
 
 import pytest
 
 from tests.compare import assert_same, tables
 from tickloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+
+def folder(name):
+    return "/root/testdata/sf0.01" if name.startswith(("har", "char")) else "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
 def con():
-    return tables(SF)
+    return {sf: tables(sf) for sf in map(folder, ("har", "rrvar"))}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_oracle(spark, con, name):
-    assert_same(catalogue.QUERIES[name](spark, SF), con, catalogue.ORACLES[name])
+    sf = folder(name)
+    assert_same(catalogue.QUERIES[name](spark, sf), con[sf], catalogue.ORACLES[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).columns
+    rows = catalogue.QUERIES[name](spark, folder(name)).collect()
+    assert len(rows) > 0 and any(any(v is not None for v in r) for r in rows)

@@ -24,6 +24,11 @@ KERNEL_NAMES = {
     "tukeypoly": ("tukeypoly",),
     "flattop": ("flattop",),
 }
+#: The kernel names as they are listed.
+LISTED_KERNELS = [
+    "bartlett", "triangular", "parzen", "qs", "quadratic", "tukey", "hanning", "tukey-hanning", "cubic", "5th", "fifth",
+    "6th", "7th", "8th", "parzen_poly", "tukey_poly", "flat-top", "flattop",
+]
 #: Polynomial coefficients, by power of x from 0, of the kernels that are plain polynomials.
 POLYNOMIALS = {
     "bartlett": (1, -1),
@@ -64,7 +69,7 @@ def kernel_id(name: str) -> str:
 
 
 def list_available_kernels() -> list[str]:
-    return sorted({n for names in KERNEL_NAMES.values() for n in names})
+    return list(LISTED_KERNELS)
 
 
 def kernel_weight(x: float, kernel: str) -> float:

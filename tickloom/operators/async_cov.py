@@ -1,5 +1,7 @@
 """Covariances of ticks that do not share a clock.
 
+Ticks of a symbol at one time are one tick, the last by seq (then by price): the order of rows never counts.
+
 Overlap sums telescope: the returns of one symbol that overlap an interval of the other add up to the
 difference of two as-of prices, so windows over a union replace the interval join, O(n log n). Refresh
 times are a sequential recurrence and run grouped by (day, pair)."""
@@ -17,10 +19,17 @@ from tickloom.operators.realized import realized
 from tickloom.sources.tables import tick_hours
 
 
+def last_ticks(ticks: DataFrame) -> DataFrame:
+    """(day, symbol, t, seq, lp): one tick for each time of a symbol."""
+    w = Window.partitionBy("symbol", "day").orderBy("ts", "seq", "price")
+    rows = ticks.withColumn("_next", F.lead("ts").over(w)).filter("_next IS NULL OR _next != ts")
+    return rows.select("day", "symbol", tick_hours("ts").alias("t"), "seq", F.ln("price").alias("lp"))
+
+
 def pair_ticks(ticks: DataFrame) -> DataFrame:
     """(day, sym_i, sym_j, side, t, seq, lp): every tick once for each other symbol of its day; side is 1 for
     the first symbol of the pair. Symbols are few against ticks; the symbol list of a day is distinct."""
-    rows = ticks.select("day", "symbol", tick_hours("ts").alias("t"), "seq", F.ln("price").alias("lp"))
+    rows = last_ticks(ticks)
     names = ticks.select("day", F.col("symbol").alias("other")).distinct()
     both = rows.join(names, "day").filter("symbol != other")
     return both.select("day", F.least("symbol", "other").alias("sym_i"), F.greatest("symbol", "other").alias("sym_j"), F.when(F.col("symbol") < F.col("other"), 1).otherwise(2).alias("side"), "t", "seq", "lp")
@@ -65,16 +74,17 @@ def lead_lag(ticks: DataFrame, max_lag: int = 10) -> DataFrame:
 def refresh_times(*clocks: np.ndarray) -> np.ndarray:
     """The refresh times of increasing clocks: the first time at which all have ticked, then again from just
     after it."""
-    out = []
-    if clocks and all(len(t) for t in clocks):
-        last, now = min(t[-1] for t in clocks), max(t[0] for t in clocks)
-        while now <= last:
-            out.append(now)
-            at = [np.searchsorted(t, now, "right") for t in clocks]
-            if any(i == len(t) for i, t in zip(at, clocks)):
-                break
-            now = max(t[i] for i, t in zip(at, clocks))
-    return np.array(out, dtype=float)
+    if not clocks or not all(len(t) for t in clocks):
+        return np.zeros(0)
+    # For every tick of any clock, the first tick after it of the clock that is last to tick: a step of the walk.
+    every = np.unique(np.concatenate(clocks))
+    later = [np.append(t, np.inf)[np.searchsorted(t, every, "right")] for t in clocks]
+    step = np.searchsorted(every, np.max(later, axis=0)).tolist()
+    last, at, out = int(np.searchsorted(every, min(t[-1] for t in clocks))), int(np.searchsorted(every, max(t[0] for t in clocks))), []
+    while at <= last:
+        out.append(at)
+        at = step[at]
+    return every[out] if out else np.zeros(0)
 
 
 def refresh_panel(ticks: DataFrame, variant: str = "faithful") -> DataFrame:
@@ -93,7 +103,7 @@ def refresh_panel(ticks: DataFrame, variant: str = "faithful") -> DataFrame:
         head = {"day": pa.array([key[0].as_py()] * len(grid), pa.string()), "m": pa.array(np.arange(len(grid))), "t": grid}
         return pa.table({**head, "symbols": pa.array([names] * len(grid), pa.list_(pa.string())), "lps": pa.array(list(values), pa.list_(pa.float64()))})
 
-    rows = ticks.filter("symbol IS NOT NULL").select(F.col("day").cast("string").alias("day"), "symbol", tick_hours("ts").alias("t"), "seq", F.ln("price").alias("lp"))
+    rows = last_ticks(ticks.filter("symbol IS NOT NULL")).withColumn("day", F.col("day").cast("string"))
     return rows.groupBy("day").applyInArrow(run, "day string, m long, t double, symbols array<string>, lps array<double>")
 
 

@@ -75,6 +75,12 @@ def cojumps(panel: DataFrame, window: int = 78, alpha: float = 0.999) -> DataFra
     return at.groupBy("day").agg(F.sum((F.col("k") >= 2).cast("int")).alias("n_cojumps"))
 
 
+def cojump_places(panel: DataFrame, window: int = 78, alpha: float = 0.999) -> DataFrame:
+    """(day, idx, n_jumps, cojump): how many symbols jump at each place, and whether two or more do."""
+    at = panel_jumps(panel, window, alpha).groupBy("day", "idx").agg(F.sum(F.col("jump").cast("int")).alias("n_jumps"))
+    return at.select("day", "idx", "n_jumps", (F.col("n_jumps") >= 2).alias("cojump"))
+
+
 def rank(value: Column, over: list[str]) -> Column:
     """Average ranks of ties."""
     w = Window.partitionBy(*over).orderBy(value)

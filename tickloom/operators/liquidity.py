@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 def asof_quotes(trades: DataFrame, quotes: DataFrame, keys: tuple[str, ...] = ("day",)) -> DataFrame:
     """Every trade with the last quote of its group at or before it (null if there is none): one union and
-    one window, no range join. A quote at a trade's own time counts."""
-    q = quotes.select(*keys, "ts", F.lit(0).alias("side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("price"), F.struct("bid", "ask").alias("q"))
+    one window, no range join. A quote at a trade's own time counts; of several at one time the last by seq
+    does (by bid and ask where quotes have no seq, or the same)."""
+    seq = F.col("seq").cast("long") if "seq" in quotes.columns else F.lit(None).cast("long")
+    q = quotes.select(*keys, "ts", F.lit(0).alias("side"), seq.alias("seq"), F.lit(None).cast("double").alias("price"), F.struct("bid", "ask").alias("q"))
     t = trades.select(*keys, "ts", F.lit(1).alias("side"), "seq", "price", F.lit(None).cast("struct<bid:double,ask:double>").alias("q"))
-    w = Window.partitionBy(*keys).orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("ts", "side", "seq", "q.bid", "q.ask").rowsBetween(Window.unboundedPreceding, 0)
     rows = q.unionByName(t).withColumn("q", F.last("q", ignorenulls=True).over(w)).filter("side = 1")
     return rows.select(*keys, "ts", "seq", "price", "q.bid", "q.ask")
 

@@ -17,13 +17,11 @@ def make_psd(long: DataFrame, value: str, eps: float = 1e-6) -> DataFrame:
     eps or more; one matrix of K x K symbols a group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf.sym_i) | set(pdf.sym_j))
-        at = {n: i for i, n in enumerate(names)}
+        names, at = np.unique(np.concatenate([pdf.sym_i, pdf.sym_j]).astype(str), return_inverse=True)
+        i, j = at[: len(pdf)], at[len(pdf) :]
         m = np.zeros((len(names), len(names)))
-        for i, j, v in zip(pdf.sym_i, pdf.sym_j, pdf[value]):
-            m[at[i], at[j]] = m[at[j], at[i]] = v
-        m = project(m, eps)
-        rows = [(pdf.day.iloc[0], a, b, m[at[a], at[b]]) for a in names for b in names if a <= b]
-        return pd.DataFrame(rows, columns=["day", "sym_i", "sym_j", value])
+        m[i, j] = m[j, i] = pdf[value].to_numpy(float)
+        a, b = np.triu_indices(len(names))
+        return pd.DataFrame({"day": pdf.day.iloc[0], "sym_i": names[a], "sym_j": names[b], value: project(m, eps)[a, b]})
 
     return long.select("day", "sym_i", "sym_j", value).groupBy("day").applyInPandas(run, f"day string, sym_i string, sym_j string, {value} double")

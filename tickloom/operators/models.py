@@ -67,6 +67,20 @@ def ols(y: np.ndarray, x: np.ndarray) -> dict:
     return {"n": n, "beta": beta, "se": se, "t": t, "p": np.array([t_two_sided(v, n - k) for v in t]), "r2": 1 - rest @ rest / about if about > 0 else 0.0}
 
 
+def har_values(daily: DataFrame, model: str = "HAR", variant: str = "faithful") -> DataFrame:
+    """(symbol, day, y, fitted, residual) of the days that the fit uses; null for a symbol of too few days."""
+    extra = HAR_MODELS[model][1] if model in HAR_MODELS else None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.column_stack([np.ones(len(pdf)), *[pdf[c].to_numpy(float) for c in (*PERIODS, *(["extra"] if extra else []))]])
+        fitted = x @ ols(pdf["y"].to_numpy(float), x)["beta"]
+        return pd.DataFrame({"symbol": pdf["symbol"], "day": pdf["day"], "y": pdf["y"], "fitted": fitted, "residual": pdf["y"] - fitted})
+
+    rows = har_design(daily, model, variant)
+    rows = rows.dropna(subset=["y", *PERIODS, *(["extra"] if extra else [])])
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, day string, y double, fitted double, residual double")
+
+
 def fit_har(daily: DataFrame, model: str = "HAR", variant: str = "faithful") -> DataFrame:
     """(symbol, term, coefficient, std_error, t_stat, pvalue, r2, nobs): one row a coefficient."""
     extra = HAR_MODELS[model][1] if model in HAR_MODELS else None
@@ -119,9 +133,9 @@ def log_likelihoods(par: np.ndarray, x: np.ndarray) -> np.ndarray:
 LOWER, UPPER = np.array([1e-10, 0.0, 0.0]), np.array([10.0, 5.0, 0.9999])
 
 
-def maximise(x: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Quasi-likelihood estimates within bounds: Nelder-Mead on (log w, a, b) from fixed starts, so that
-    reruns agree."""
+def maximise(x: np.ndarray, start: np.ndarray | None = None, multi_start: bool = True) -> tuple[np.ndarray, float]:
+    """Quasi-likelihood estimates within bounds: Nelder-Mead on (log w, a, b) from ``start`` (told from the
+    series where there is none) and, with ``multi_start``, from three fixed ones, so that reruns agree."""
     if start is None:
         phi = 0.5
         if len(x) > 2 and x[:-1].var() > 0:
@@ -138,7 +152,8 @@ def maximise(x: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray
 
     best, least = None, math.inf
     mean = max(float(x.mean()), 1e-8)
-    for p0 in (start, np.array([mean * 0.1, 0.1, 0.8]), np.array([mean * 0.3, 0.3, 0.4]), np.array([mean * 0.05, 0.05, 0.9])):
+    others = (np.array([mean * 0.1, 0.1, 0.8]), np.array([mean * 0.3, 0.3, 0.4]), np.array([mean * 0.05, 0.05, 0.9]))
+    for p0 in (start, *(others if multi_start else ())):
         u = nelder_mead(loss, np.array([math.log(max(p0[0], 1e-10)), p0[1], p0[2]]))
         if (v := loss(u)) < least:
             best, least = par_of(u), v
@@ -184,18 +199,24 @@ def sandwich(par: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(np.diag(inverse @ (score.T @ score / n) @ inverse / n), 0))
 
 
-def fit_heavy(daily: DataFrame, variant: str = "faithful") -> DataFrame:
+Starts = tuple[float, float, float] | None
+
+
+def _equations(pdf: pd.DataFrame, variant: str, variance_starting: Starts, rm_starting: Starts):
+    """(equation, its driving series, starting values) of the two equations."""
+    rv, own = pdf["rv"].to_numpy(float), pdf["ret"].to_numpy(float) ** 2
+    return [(name, x, None if start is None else np.array(start, float)) for name, x, start in (("variance", rv if variant == "literature" else own, variance_starting), ("rm", rv, rm_starting)) if len(x) >= 4]
+
+
+def fit_heavy(daily: DataFrame, variant: str = "faithful", variance_starting: Starts = None, rm_starting: Starts = None, multi_start: bool = True) -> DataFrame:
     """(symbol, equation, param, estimate, std_error, t_stat, pvalue, log_likelihood, nobs). As coded, the
     variance equation is driven by squared returns; variant="literature" drives it by the realized measure."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
         out = []
-        driver = "rv" if variant == "literature" else None
-        for equation, x in (("variance", pdf[driver].to_numpy(float) if driver else pdf["ret"].to_numpy(float) ** 2), ("rm", pdf["rv"].to_numpy(float))):
-            if len(x) < 4:
-                continue
-            par, ll = maximise(x)
+        for equation, x, start in _equations(pdf, variant, variance_starting, rm_starting):
+            par, ll = maximise(x, start, multi_start)
             se = sandwich(par, x)
             for name, p, s in zip(("omega", "alpha", "beta"), par, se):
                 t = p / (s + 1e-15)
@@ -203,3 +224,17 @@ def fit_heavy(daily: DataFrame, variant: str = "faithful") -> DataFrame:
         return pd.DataFrame(out, columns=["symbol", "equation", "param", "estimate", "std_error", "t_stat", "pvalue", "log_likelihood", "nobs"])
 
     return daily.select("symbol", "day", "ret", "rv").groupBy("symbol").applyInPandas(run, "symbol string, equation string, param string, estimate double, std_error double, t_stat double, pvalue double, log_likelihood double, nobs long")
+
+
+def heavy_paths(daily: DataFrame, variant: str = "faithful", variance_starting: Starts = None, rm_starting: Starts = None, multi_start: bool = True) -> DataFrame:
+    """(symbol, day, conditional_variance, conditional_mean): the recursions at the estimates of fit_heavy;
+    symbols of under four days have none."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        h = {name: recursion(maximise(x, start, multi_start)[0], x) for name, x, start in _equations(pdf, variant, variance_starting, rm_starting)}
+        if not h:
+            pdf, h = pdf.iloc[:0], {"variance": np.zeros(0), "rm": np.zeros(0)}
+        return pd.DataFrame({"symbol": pdf["symbol"], "day": pdf["day"], "conditional_variance": h["variance"], "conditional_mean": h["rm"]})
+
+    return daily.select("symbol", "day", "ret", "rv").groupBy("symbol").applyInPandas(run, "symbol string, day string, conditional_variance double, conditional_mean double")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.functions.constants import KERNEL_NAMES, THETA, TRIPOWER, kernel_weight, mu_p, normal_quantile, psi_constants
+from tickloom.functions.constants import KERNEL_NAMES, THETA, TRIPOWER, kernel_id, kernel_weight, list_available_kernels, mu_p, normal_quantile, psi_constants
 from tickloom.functions.returns import KEYS, lags, log_returns, median3, min2, product, series, simple_returns
 from tickloom.functions.stats import normal_tail_sql, t_two_sided
 from tickloom.operators import async_cov, inference, jumps, liquidity, matrix, models, noise, panel, realized, spot
@@ -174,6 +174,10 @@ def _psi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(kn, *psi_constants(kn)) for kn in range(2, 41)], "kn long, psi1 double, psi2 double")
 
 
+#: The published spellings of each kernel.
+_SPELLED = "VALUES ('bartlett', 'bartlett'), ('triangular', 'bartlett'), ('parzen', 'parzen'), ('qs', 'qs'), ('quadratic', 'qs'), ('tukey', 'tukey'), ('hanning', 'tukey'), ('tukey-hanning', 'tukey'), ('cubic', 'cubic'), ('5th', 'order5'), ('fifth', 'order5'), ('6th', 'order6'), ('7th', 'order7'), ('8th', 'order8'), ('parzen_poly', 'parzenpoly'), ('tukey_poly', 'tukeypoly'), ('flat-top', 'flattop'), ('flattop', 'flattop')"
+add("list_available_kernels", lambda s, d: s.createDataFrame([(k,) for k in list_available_kernels()], "name string"), f"SELECT name FROM ({_SPELLED}) AS k(name, kernel)")
+add("kernel_ids", lambda s, d: s.createDataFrame([(k, kernel_id(k)) for k in list_available_kernels()], "name string, kernel string"), f"SELECT name, kernel FROM ({_SPELLED}) AS k(name, kernel)")
 add("psi_constants", _psi_table, f"""WITH k AS (SELECT unnest(range(2, 41)) AS kn), j AS (SELECT kn, unnest(range(kn)) AS j FROM k), g AS (SELECT kn, least(j::DOUBLE / kn, 1 - j::DOUBLE / kn) AS a, least((j + 1)::DOUBLE / kn, 1 - (j + 1)::DOUBLE / kn) AS b FROM j)
 SELECT kn, {rnd('kn * sum(pow(b - a, 2))', 'psi1')}, {rnd('sum(a * a) / kn', 'psi2')} FROM g GROUP BY kn""")
 add("mu_p", lambda s, d: s.createDataFrame([(p / 4, mu_p(p / 4)) for p in range(1, 33)], "p double, mu double"), f"WITH g AS (SELECT CAST(i AS DOUBLE) / 4 AS p FROM (SELECT unnest(range(1, 33)) AS i)) SELECT {rnd('p', 'p')}, {rnd('pow(2, p / 2) * gamma((p + 1) / 2) / sqrt(pi())', 'mu')} FROM g")
@@ -205,10 +209,11 @@ add("make_psd", on_panel(lambda p: matrix.make_psd(panel.bipower_covariance(p),
 
 # --- covariances of ticks without a common clock -----------------------------------------------------------
 
-STEPS = f"{RETURNS}, h AS (SELECT symbol, day, seq, epoch_us(ts)::DOUBLE / 3.6e9 AS t, ln(price) AS lp, r, lag(epoch_us(ts)::DOUBLE / 3.6e9) OVER {W} AS t0 FROM r), z AS (SELECT * FROM h WHERE r IS NOT NULL), nm AS (SELECT DISTINCT day, symbol FROM t), pr AS (SELECT i.day, i.symbol AS sym_i, j.symbol AS sym_j FROM nm i JOIN nm j ON i.day = j.day AND i.symbol < j.symbol)"
+#: Ticks of a symbol at one time are one tick, the last by seq.
+STEPS = f"{RETURNS}, u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY symbol, day, ts ORDER BY seq DESC, price DESC) = 1), h AS (SELECT symbol, day, seq, epoch_us(ts)::DOUBLE / 3.6e9 AS t, ln(price) AS lp, ln(price / lag(price) OVER w) AS r, lag(epoch_us(ts)::DOUBLE / 3.6e9) OVER w AS t0 FROM u WINDOW w AS {W}), z AS (SELECT * FROM h WHERE r IS NOT NULL), nm AS (SELECT DISTINCT day, symbol FROM t), pr AS (SELECT i.day, i.symbol AS sym_i, j.symbol AS sym_j FROM nm i JOIN nm j ON i.day = j.day AND i.symbol < j.symbol)"
 _OVER = "a.t0 < b.t + lag AND b.t0 + lag < a.t"
 _SHIFT = f"s AS (SELECT pr.day, pr.sym_i, pr.sym_j, lag, coalesce(sum(a.r * b.r), 0) AS v FROM pr CROSS JOIN (SELECT unnest(range(-3, 4)) AS lag) LEFT JOIN (z a JOIN z b ON a.day = b.day AND a.symbol < b.symbol) ON a.day = pr.day AND a.symbol = pr.sym_i AND b.symbol = pr.sym_j AND {_OVER} GROUP BY pr.day, pr.sym_i, pr.sym_j, lag)"
-add("rhycov", on_ticks(async_cov.overlap_covariance), f"WITH {STEPS} SELECT day, symbol AS sym_i, symbol AS sym_j, {rnd('coalesce(sum(r * r), 0)', 'rhycov')} FROM h GROUP BY day, symbol UNION ALL SELECT pr.day, sym_i, sym_j, {rnd('coalesce(sum(a.r * b.r), 0)', 'rhycov')} FROM pr LEFT JOIN (z a JOIN z b ON a.day = b.day AND a.symbol < b.symbol AND a.t0 < b.t AND b.t0 < a.t) ON a.day = pr.day AND a.symbol = pr.sym_i AND b.symbol = pr.sym_j GROUP BY pr.day, sym_i, sym_j")
+add("rhycov", on_ticks(async_cov.overlap_covariance), f"WITH {STEPS} SELECT day, symbol AS sym_i, symbol AS sym_j, {rnd('coalesce(sum(r * r), 0)', 'rhycov')} FROM r GROUP BY day, symbol UNION ALL SELECT pr.day, sym_i, sym_j, {rnd('coalesce(sum(a.r * b.r), 0)', 'rhycov')} FROM pr LEFT JOIN (z a JOIN z b ON a.day = b.day AND a.symbol < b.symbol AND a.t0 < b.t AND b.t0 < a.t) ON a.day = pr.day AND a.symbol = pr.sym_i AND b.symbol = pr.sym_j GROUP BY pr.day, sym_i, sym_j")
 add("leadlag_covariances", on_ticks(lambda t: async_cov.shifted_covariances(t, 3)), f"WITH {STEPS}, {_SHIFT} SELECT {PAIR}, CAST(lag AS INTEGER) AS lag, {rnd('v', 'covariance')} FROM s")
 add("leadlag", on_ticks(lambda t: async_cov.lead_lag(t, 3)), f"""WITH {STEPS}, {_SHIFT}, k AS (SELECT *, row_number() OVER (PARTITION BY {PAIR} ORDER BY abs(v) DESC, lag) AS k FROM s)
 SELECT {PAIR}, CAST(lag AS INTEGER) AS lag, {rnd('v', 'covariance')}, CASE WHEN lag > 0 THEN 'Series 1 leads series 2 by ' || lag WHEN lag < 0 THEN 'Series 2 leads series 1 by ' || abs(lag) ELSE 'No lead-lag relationship' END AS interpretation FROM k WHERE k = 1""")
@@ -243,7 +248,7 @@ a AS (SELECT q.day, q.sym_i, q.sym_j, q.i, sum(z.ri * g.g) / any_value(gs) AS pi
 v AS (SELECT {PAIR}, any_value(n) / (any_value(n) - any_value(kn) + 2.0::DOUBLE) * (12.0::DOUBLE / any_value(kn)) * sum(pi * pj) AS v FROM a JOIN gs USING ({PAIR}) GROUP BY {PAIR})
 SELECT {PAIR}, {rnd('coalesce(v, 0)', 'rmrcov')} FROM pr LEFT JOIN v USING ({PAIR})"""
 add("rmrcov_pairs", on_ticks(lambda t: async_cov.modulated_covariance(t).filter("sym_i < sym_j")), _MRC)
-add("rmrcov", on_ticks(async_cov.modulated_covariance))
+add("rmrcov", on_ticks(async_cov.modulated_covariance), f"SELECT * FROM ({_MRC}) UNION ALL SELECT day, symbol AS sym_i, symbol AS sym_j, rmrvar AS rmrcov FROM ({ORACLES['rmrvar']})")
 
 # --- jumps, inference, spot -------------------------------------------------------------------------------
 
@@ -276,6 +281,7 @@ add("intraday_jump", on_ticks(jumps.intraday), f"WITH {_SPOT}, {_LOCAL('s', 'sym
 LEVEL = 0.05
 _COJ = PANEL + ", pp AS (SELECT day, symbol, r, idx - 1 AS idx FROM p), " + _LOCAL("pp", "symbol, day", "idx").replace(repr(normal_quantile(0.999)), repr(normal_quantile(LEVEL)))
 add("cojumps", on_panel(lambda p: jumps.cojumps(p, alpha=LEVEL)), f"WITH {_COJ} SELECT day, CAST(sum(CASE WHEN k >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_cojumps FROM (SELECT day, idx, sum(CAST(jump AS INTEGER)) AS k FROM jj GROUP BY day, idx) GROUP BY day")
+add("cojump_places", on_panel(lambda p: jumps.cojump_places(p, alpha=LEVEL)), f"WITH {_COJ} SELECT day, CAST(idx AS INTEGER) AS idx, CAST(sum(CAST(jump AS INTEGER)) AS BIGINT) AS n_jumps, sum(CAST(jump AS INTEGER)) >= 2 AS cojump FROM jj GROUP BY day, idx")
 _RK = lambda c: f"rank() OVER (PARTITION BY {PAIR} ORDER BY {c}) + (count(*) OVER (PARTITION BY {PAIR}, {c}) - 1) / 2.0::DOUBLE"
 add("rank_jump", on_panel(lambda p: jumps.rank_correlation(p, alpha=LEVEL)), f"""WITH {_COJ}, js AS (SELECT day, idx, symbol, CASE WHEN jump THEN r ELSE 0 END AS v FROM jj), jp AS (SELECT i.day, i.idx, i.symbol AS sym_i, j.symbol AS sym_j, i.v AS vi, j.v AS vj FROM js i JOIN js j ON i.day = j.day AND i.idx = j.idx AND i.symbol < j.symbol),
 hit AS (SELECT {PAIR}, {_RK('vi')} AS ri, {_RK('vj')} AS rj FROM jp WHERE vi <> 0 OR vj <> 0), co AS (SELECT {PAIR}, count(*) AS n, corr(ri, rj) AS rho FROM hit GROUP BY {PAIR}),
@@ -306,7 +312,7 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return liquidity.asof_quotes(day(tables.trades(spark, sf_dir)), day(tables.quotes(spark, sf_dir)))
 
 
-_ASOF = """q AS (SELECT ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value * 0.99::DOUBLE AS bid, value * 1.01::DOUBLE AS ask FROM events WHERE event_type = 'view' AND value > 0),
+_ASOF = """q AS (SELECT ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, value * 0.99::DOUBLE AS bid, value * 1.01::DOUBLE AS ask FROM events WHERE event_type = 'view' AND value > 0 QUALIFY row_number() OVER (PARTITION BY ts ORDER BY event_id DESC) = 1),
 tr AS (SELECT ts, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_id AS seq, value AS price FROM events WHERE event_type = 'purchase' AND value > 0),
 m AS (SELECT tr.day, tr.ts, tr.seq, tr.price, q.bid, q.ask FROM tr ASOF LEFT JOIN q ON tr.day = q.day AND tr.ts >= q.ts)"""
 add("quote_asof", lambda s, d: _matched(s, d).drop("ts"), f"WITH {_ASOF} SELECT day, seq, {rnd('price', 'price')}, {rnd('bid', 'bid')}, {rnd('ask', 'ask')} FROM m")
@@ -342,10 +348,25 @@ def _har_oracle(source: str, extra: str) -> str:
     return f"WITH {DAILY}, h AS (SELECT symbol, day, rv AS y, {avg(1)} AS daily, {avg(5)} AS weekly, {avg(22)} AS monthly, bpv, tq, rv, row_number() OVER (PARTITION BY symbol ORDER BY day) AS k FROM dm) SELECT symbol, day, {rnd('y', 'y')}, {rnd('daily', 'daily')}, {rnd('weekly', 'weekly')}, {rnd('monthly', 'monthly')}, {rnd(extra, 'extra')} FROM h WHERE k > 22"
 
 
+def _har_values_oracle(source: str, extra: str, k: int) -> str:
+    """Least squares by Gram-Schmidt: each regressor without its part along the ones before it, then y's parts
+    along them. A regressor that the others span gives nothing."""
+    cols = ["daily", "weekly", "monthly", "extra"][:k]
+    avg = lambda n: f"avg({source}) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    out = f"WITH {DAILY}, h AS (SELECT symbol, day, rv AS y, {avg(1)} AS daily, {avg(5)} AS weekly, {avg(22)} AS monthly, bpv, tq, rv, row_number() OVER (PARTITION BY symbol ORDER BY day) AS k FROM dm), "
+    centred = ", ".join(f"{c} - avg({c}) OVER () AS {c}" for c in ("y", *cols))
+    out += f"x AS (SELECT *, {extra} AS extra FROM h WHERE k > 22), e0 AS (SELECT symbol, day, y AS y0, {centred} FROM x)"
+    for i, c in enumerate(cols):
+        part = lambda v, c=c: f"{v} - {c} * CASE WHEN sum({c} * {c}) OVER () > 1e-18 THEN sum({v} * {c}) OVER () / sum({c} * {c}) OVER () ELSE 0 END AS {v}"
+        out += f", e{i + 1} AS (SELECT symbol, day, y0, {', '.join(part(v) for v in ('y', *cols[i + 1 :]))} FROM e{i})"
+    return f"{out} SELECT symbol, day, {rnd('y0', 'y')}, {rnd('y0 - y', 'fitted')}, {rnd('CASE WHEN abs(y) < 5e-7 THEN 0 ELSE y END', 'residual')} FROM e{k}"
+
+
 _EXTRA = {None: "CAST(NULL AS DOUBLE)", "jump": "greatest(rv - bpv, 0)", "rq_interaction": "daily * sqrt(tq)"}
 for _h, (_source, _extra) in models.HAR_MODELS.items():
     add(f"{_h.lower()}_design", on_daily(lambda d, m=_h: models.har_design(d, m)), _har_oracle(_source, _EXTRA[_extra]))
     add(_h.lower(), on_daily(lambda d, m=_h: models.fit_har(d, m)))
+    add(f"{_h.lower()}_values", on_daily(lambda d, m=_h: models.har_values(d, m)), _har_values_oracle(_source, _EXTRA[_extra], 4 if _extra else 3))
 add("har_lagged", on_daily(lambda d: models.fit_har(d, "HAR", "literature")))
 _ABD = mu_p(1) ** -4 + 2 * mu_p(1) ** -2 - 5
 add("abd_jump", on_daily(models.abd_statistic), f"WITH {DAILY} SELECT symbol, day, {rnd(f'CASE WHEN rv > 1e-30 THEN sqrt(count(*) OVER (PARTITION BY symbol)) * (rv - bpv) / rv / sqrt({_ABD!r} * greatest(1, CASE WHEN bpv * bpv > 1e-30 THEN tq / (bpv * bpv) ELSE 1 END)) ELSE 0 END', 'z_abd')} FROM dm")
@@ -353,6 +374,7 @@ add("heavy_filter", on_daily(lambda d: models.heavy_filter(d, "rv", 0.1, 0.3, 0.
 h AS (SELECT symbol, day, x, k, m AS h FROM x WHERE k = 1 UNION ALL SELECT x.symbol, x.day, x.x, x.k, greatest(1e-30, 0.1::DOUBLE + 0.3::DOUBLE * h.x + 0.6::DOUBLE * h.h) FROM h JOIN x ON x.symbol = h.symbol AND x.k = h.k + 1)
 SELECT symbol, day, {rnd('h', 'h')} FROM h""")
 add("heavy_fit", on_daily(models.fit_heavy))
+add("heavy_paths", on_daily(models.heavy_paths))
 
 # --- streaming --------------------------------------------------------------------------------------------
 
