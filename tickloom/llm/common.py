@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space. ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Whether a finished query's shuffle files go at once; else they wait for the driver's garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +41,16 @@ def work_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation. The folder goes when the driver's JVM ends."""
+    executor costs no recomputation. The write's shuffle files, of no use then, go when it ends; the folder
+    goes when the driver's JVM does."""
     spark = df.sparkSession
     at = f"{work_dir(spark)}/tickloom-{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(at)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     back = spark.read.schema(df.schema).parquet(at)
