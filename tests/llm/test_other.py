@@ -173,15 +173,54 @@ def test_line_rules():
     prose = "This is a plain line of prose that says one thing, and then says another one too."
     rules = quality.Rules()
     judge = lambda text: quality.judge(text.encode(), rules)
-    faults = {"home | about | contact | help": "navigation", "a### b$$$ c%%% d&&&": "navigation", "BUY NOW AND SAVE MONEY TODAY": "punctuation", "All rights reserved.": "boilerplate", "word " * 12: "punctuation", prose: None, "Une phrase très courte.": None}
-    for line, want in faults.items():
-        assert quality.line_fault(line.encode(), line.encode().split(), rules) == want
+    faults = {
+        "navigation": ["home | about | contact | help", "Accueil · Produits · Contact · Aide", "Start / Über uns / Kontakt / Impressum", "Inicio › Ayuda › Contacto › Mapa", "a### b$$$ c%%% d&&&", "Read more »", "Lire la suite…", "Nächste Seite →", "PÁGINA ANTERIOR", "S’inscrire"],
+        "punctuation": ["BUY NOW AND SAVE MONEY TODAY", "word " * 12, "one two " * 20],
+        "boilerplate": ["All rights reserved.", "© 2020 Tous Droits RÉSERVÉS", "Alle Rechte vorbehalten.", "Todos los derechos reservados", "Siehe unsere Datenschutzerklärung.", "Consulte nuestra POLÍTICA DE PRIVACIDAD."],
+        None: [prose, "Une phrase très courte.", "Er will sich morgen bei uns anmelden.", "Leer más libros es bueno.", "He said « no », and she said « yes ».", "and/or either/or", "All rights reserved. " + "more words, " * 30, "one two, " * 20, "日本語。 " + "語 と " * 25],
+    }
+    for want, lines in faults.items():
+        for line in lines:
+            assert quality.line_fault(line.encode(), line.encode().split(), rules) == want, line
     more = "Another line follows, which has different words in it; nobody would call it a menu."
     kept = judge("\n".join([prose, "All rights reserved.", more, "home | about | contact | help"]))
     assert kept[6] and kept[8] == f"{prose}\n{more}".encode()
     assert not judge("\n".join([prose] + [f"item{i} | item | item | item" for i in range(20)]))[6]
 
 
+def plain_fault(line):
+    """The rules once more, on characters and with loops."""
+    words = __import__("re").findall(r"[^\x20\x09-\x0D]+", line)
+    n, bars = len(words), line.count("|")
+    for i, c in enumerate(line):
+        bars += c in "·•›/" and not line[i - 1 : i].strip() and not line[i + 1 : i + 2].strip()
+    caption = " ".join(line.lower().replace("’", "'").strip(" .:!…<>«»‹›←→").split())
+    menu = (bars >= 3 and 5 * bars >= n) or sum(c in "#*$%&|<>" for c in line) >= max(3, 0.3 * n) or any(caption in k.split(", ") for k in quality.CAPTIONS.values())
+    shout = n >= 5 and line == line.upper() and line != line.lower()
+    stutter = n >= 12 and sum(a == b for a, b in zip(words, words[1:])) >= 0.6 * n
+    notice = n <= 25 and any(__import__("re").search(k, line, __import__("re").I) for k in quality.NOTICES.values())
+    return menu or shout or stutter or notice or (n >= 40 and not set(line) & set(".,;:!?…、。！，？"))
+
+
+def test_quality_query_on_documents(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = quality.op7_line_quality(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    verdicts = set()
+    for r in got:
+        text = docs[r.doc_id]
+        count = lambda x: len(__import__("re").sub(r"[\x20\x09-\x0D]", "", x))
+        lines = [x for x in text.split("\n") if count(x)]
+        lost = sum(count(x) for x in lines if plain_fault(x))
+        repeat = plain_repeat(__import__("re").findall(r"[^\x20\x09-\x0D]+", text))
+        failed = r.n_words < 20 or 100 * repeat > 30 * r.n_words
+        assert (r.word_chars, r.n_repeat_words, r.base_failed) == (count(text), repeat, failed)
+        assert r.kept == (not failed and lost <= 0.5 * count(text)), r.doc_id
+        verdicts.add((failed, r.kept))
+    assert verdicts == {(True, False), (False, True), (False, False)}
+
+
 # --- toxicity ---
 
 

@@ -1,10 +1,11 @@
 """Quality rules, lines first.
 
-Every line is judged by itself: punctuation (shouted, unpunctuated
-or stuttering runs), navigation (separator-laden
-menus, symbol-laden lines) and boilerplate (licence, copyright and consent notices). Failing lines go;
-what is left is the cleaned text, and a document that lost too large a part of its words' characters to
-failing lines is rejected. The base counts are taken on the text as given.
+Every line is judged by itself: punctuation (shouted, unpunctuated or stuttering runs), navigation
+(separator-laden menus, lines that are nothing but a link's caption, symbol-laden lines) and boilerplate
+(licence, copyright and consent notices), with the captions and notices of English, French, German and Spanish
+pages whatever the document's language. Failing lines go; what is left is the cleaned text, and a document
+that lost too large a part of its words' characters to failing lines is rejected. The base counts are taken
+on the text as given.
 
 Edge cases: null and empty texts have no words and fail the base rule; repeated rows give repeated
 results; texts are processed whole, a document at a time; an empty table gives no rows; other columns are
@@ -24,13 +25,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm.common import raw_texts, ship, slices, table, tidied
 
-SPACE, SYMBOLS, MARKS = b" \t\n\r\x0b\x0c", b"#*$%&|<>", b".,;:!?"
+SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
+MARKS = re.compile("[.,;:!?\u2026\u3001\u3002\uff01\uff0c\uff1f]")
+#: What stands between the entries of a menu, with white space or an end of the line on both sides, or a bar.
+SEPARATORS = re.compile("\\||(?<!\\S)[\u00b7\u2022\u203a/](?!\\S)")
 #: Phrases of notices rather than prose; a line that has one is boilerplate if it is short.
-NOTICES = re.compile(
-    rb"all rights reserved|licensed under|released under the|is licensed under|terms of (?:use|service)|privacy policy|"
-    rb"cookie (?:policy|settings)|accept (?:all )?cookies|copyright \(c\)|subscribe to our newsletter|enable javascript|lorem ipsum",
-    re.IGNORECASE,
-)
+NOTICES = {
+    "en": r"all rights reserved|licensed under|released under the|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|"
+    r"accept (?:all )?cookies|copyright \(c\)|subscribe to our newsletter|enable javascript|lorem ipsum",
+    "fr": r"tous droits réservés|sous licence|conditions (?:générales )?d['’]utilisation|mentions légales|politique de confidentialité|"
+    r"accepter (?:tous )?les cookies|politique (?:relative aux|en matière de) cookies|inscrivez-vous à notre newsletter|activer javascript",
+    "de": r"alle rechte vorbehalten|lizenziert unter|unter der lizenz|nutzungsbedingungen|allgemeine geschäftsbedingungen|datenschutzerklärung|"
+    r"cookie-(?:richtlinie|einstellungen)|(?:alle )?cookies akzeptieren|newsletter abonnieren|javascript aktivieren",
+    "es": r"todos los derechos reservados|bajo (?:la )?licencia|términos (?:de uso|del servicio)|aviso legal|política de (?:privacidad|cookies)|"
+    r"aceptar (?:todas )?las cookies|suscr[ií]b(?:ase|ete) a nuestro boletín|activ(?:ar|e|a) javascript",
+}
+NOTICE = re.compile("|".join(NOTICES.values()), re.IGNORECASE)
+#: Captions of links; a line that is one of them, marks and arrows at its ends apart, is navigation.
+CAPTIONS = {
+    "en": "skip to content, skip to main content, back to top, read more, learn more, next page, previous page, log in, sign in, sign up, share this, leave a comment",
+    "fr": "aller au contenu, retour en haut, lire la suite, en savoir plus, page suivante, page précédente, se connecter, s'inscrire, partager, laisser un commentaire",
+    "de": "zum inhalt springen, nach oben, weiterlesen, mehr erfahren, nächste seite, vorherige seite, anmelden, registrieren, teilen, kommentar schreiben",
+    "es": "saltar al contenido, volver arriba, leer más, más información, página siguiente, página anterior, iniciar sesión, registrarse, compartir, dejar un comentario",
+}
+CAPTION = frozenset(c for k in CAPTIONS.values() for c in k.split(", "))
+LONGEST_CAPTION = max(len(c.split()) for c in CAPTION)
+ENDS = " .:!\u2026<>\u00ab\u00bb\u2039\u203a\u2190\u2192"
 WINDOW = 8
 
 
@@ -51,18 +71,22 @@ class Rules:
 
 def line_fault(line: bytes, words: list[bytes], rules: Rules) -> str | None:
     """The rule that a line with words fails, or None."""
-    n = len(words)
-    if line.count(b"|") >= rules.separators and line.count(b"|") >= rules.separators_per_word * n:
+    n, text = len(words), line.decode("utf-8", "replace")
+    separators = len(SEPARATORS.findall(text))
+    if separators >= rules.separators and separators >= rules.separators_per_word * n:
         return "navigation"
     if len(line) - len(line.translate(None, SYMBOLS)) >= max(3, rules.symbols_per_word * n):
         return "navigation"
-    if n >= rules.shout_words and line.decode("utf-8", "replace").isupper():
+    # Ends that are words of their own, as arrows are, come beside the caption.
+    if n <= LONGEST_CAPTION + 2 and " ".join(text.lower().replace("’", "'").strip(ENDS).split()) in CAPTION:
+        return "navigation"
+    if n >= rules.shout_words and text.isupper():
         return "punctuation"
-    if n >= rules.unpunctuated_words and len(line) == len(line.translate(None, MARKS)):
+    if n >= rules.unpunctuated_words and not MARKS.search(text):
         return "punctuation"
     if n >= rules.stutter_words and sum(map(eq, words, words[1:])) >= rules.stutter_share * n:
         return "punctuation"
-    if n <= rules.notice_words and NOTICES.search(line):
+    if n <= rules.notice_words and NOTICE.search(text):
         return "boilerplate"
     return None
 
