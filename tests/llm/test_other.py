@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import weakref
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm import media, pieces, quality, toxicity
+from tickloom.llm import common, media, pieces, quality, toxicity
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [None, "", " ", "\n\n", "x" * 64, "x" * 63, "é" * 100_000, "one two three", "one two three", "a  b\tc\x00d ▁ ▁▁x 😀"]
@@ -347,3 +348,27 @@ def test_other_keys_sample_otherwise(spark):
     text = "several words that have many ways to be cut " * 200
     rows = pieces.encode_pieces(frame(spark, [text, text]), MODEL, theta=0.2).collect()
     assert rows[0].ids != rows[1].ids and len({len(r.ids) for r in rows}) >= 1
+
+
+# --- what workers hold ---
+
+
+class Keeping:
+    """Refers to itself by way of a memo, as operators do."""
+
+    def __init__(self):
+        self.memo = common.WordMemo(self.work, 1000)
+
+    def work(self, words):
+        return []
+
+
+def test_a_worker_frees_what_earlier_operators_held():
+    one = weakref.ref(common.held(("one",), Keeping))
+    assert common.held(("one",), Keeping) is one()
+    two = weakref.ref(common.held(("two",), Keeping))
+    assert one() is None and two() is not None
+    uses = common.tidied(lambda batches: (common.held(("two",), Keeping) and b for b in batches))
+    assert list(uses([1, 2])) == [1, 2] and two() is not None
+    list(common.tidied(lambda batches: iter(batches))([1]))
+    assert two() is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -114,7 +115,10 @@ def slices(batch: pa.RecordBatch, rows: int = 512):
 
 
 def _trim() -> None:
-    """Give freed memory back to the system; allocators keep it otherwise, for as long as a worker lives."""
+    """Let go of what an earlier operator holds, and give freed memory back to the system; allocators keep it
+    otherwise, for as long as a worker lives."""
+    if _held and not _asked:
+        _let_go()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -124,6 +128,7 @@ def tidied(run: Callable) -> Callable:
     """The Arrow function ``run``, with freed memory returned now and then and at the end of a task."""
 
     def tidy_run(batches):
+        _asked.clear()
         for k, out in enumerate(run(batches)):
             yield out
             if k % 8 == 7:
@@ -134,13 +139,24 @@ def tidied(run: Callable) -> Callable:
 
 
 _held: dict = {}
+#: The keys of ``held`` that the task at hand has asked for.
+_asked: set = set()
+
+
+def _let_go() -> None:
+    """Free what is held. An operator and its memo refer to each other, so only a collection frees them."""
+    _held.clear()
+    gc.collect()
 
 
 def held(key: tuple, make: Callable):
     """What a Python worker keeps between tasks under ``key``. Workers outlive operators, so one operator's
-    keepings go when the next one comes."""
+    keepings go when the next one comes, or when a task of an operator without any is done."""
+    _asked.add(key)
     if key not in _held:
-        _held.clear()
+        if _held:
+            _let_go()
+            _trim()
         _held[key] = make()
     return _held[key]
 
