@@ -28,7 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id. Texts link where they share
-    0.8 or more of their five-word shingles."""
+    0.8 or more of their five-word shingles: SimHash and BK-trees find candidates and an exact check settles
+    them; pairs whose fingerprints lie too far apart come by a prefix filter, under the same check."""
     ship(spark)
     return simhash.keep_first(docs, jaccard.near_copies)
 

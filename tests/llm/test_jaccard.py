@@ -3,9 +3,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import jaccard
+from tickloom.llm import jaccard, simhash
+from tickloom.llm.common import stage
 
 
 def shingle_set(text, k=5):
@@ -135,3 +137,35 @@ def test_texts_below_the_share_stay(spark):
     docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").set_index("doc_id").text
     assert not any(similar(shingle_set(docs[a]), shingle_set(docs[b])) for a, b in zip(ids[::2], ids[1::2]))
     assert kept(spark, [docs[i] for i in ids]) == set(range(6))
+
+
+def test_simhash_links_the_near_ones_by_itself(spark, monkeypatch):
+    """Spanning links join what all pairs within the radius join; without the prefix filter, they alone let
+    near copies go that are no exact ones, and nothing else."""
+    texts = edited(random.Random(5), 300) + [None, "", "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    marked = jaccard.marks(docs, 5, ("doc_id",)).filter("parities IS NOT NULL")
+    sketches = stage(marked.select("node", "n", "parities").dropDuplicates(["node"]), "test-sketches")
+    size = {r.node: r.n for r in sketches.collect()}
+    node_of = {r.text: r.node for r in docs.select("text", F.xxhash64("text").alias("node")).collect()}
+    mark = {node_of[t]: simhash.fingerprint(t.encode(), jaccard.MARKED) & (1 << 64) - 1 for t in texts if t and t.strip()}
+
+    def near(a, b):
+        return (mark[a] ^ mark[b]).bit_count() <= jaccard.RADIUS
+
+    def groups(pairs):
+        root = {x: {x} for x in mark}
+        for a, b in pairs:
+            if root[a] is not root[b]:
+                root[a] |= root[b]
+                for x in root[b]:
+                    root[x] = root[a]
+        return {frozenset(x) for x in root.values()}
+
+    rows = jaccard.fingerprint_pairs(docs, sketches).collect()
+    assert all(r.a < r.b and r.size == size[r.a] + size[r.b] for r in rows)
+    assert groups((r.a, r.b) for r in rows) == groups((a, b) for a in mark for b in mark if a < b and near(a, b))
+    monkeypatch.setattr(jaccard, "pairs_of", lambda met, pairs: spark.createDataFrame([], "a long, b long, size long"))
+    gone = set(range(len(texts))) - kept(spark, texts)
+    assert gone <= set(range(len(texts))) - set(plain_groups(texts))
+    assert len({texts[i] for i in gone if texts[i] and texts[i] not in texts[:i]}) > 10

@@ -9,9 +9,12 @@ groups. All pairs at SHARE are found, and no other links:
    holds in any order that all texts use.
 2. A pair of a cell is a candidate if sizes and places in the prefixes allow SHARE, and if the parities of
    the texts' hash counts, which bound the difference from below, do (64 of them in the cell, then 1,024). Candidates are settled on the texts.
-3. A group of a million mutual neighbours must not cost their pairs: first some neighbours only are settled
-   (in a cell, each text and its next ones by hash, ``FIRST`` of them a text, ``TURNS`` times over), then every
-   pair of a cell whose texts are still in different components.
+3. SimHash comes first: fingerprints within ``RADIUS`` bits, found by BK-trees as op4 finds them, are
+   candidates, and the links that hold on the texts join components. Cells are for the pairs at SHARE whose
+   fingerprints lie further apart, as only texts of different components are candidates there.
+4. A group of a million mutual neighbours must not cost their pairs: BK-trees give spanning links only; in
+   cells, some neighbours are settled first (each text and its next ones by hash, ``FIRST`` of them a text,
+   ``TURNS`` times over), then every pair of a cell whose texts are still in different components.
 
 Edge cases: texts without a word (null, empty, blank) are equal to each other and to nothing else; texts
 shorter than a shingle are one shingle; letter case (ASCII) and white space do not count; texts and shingles
@@ -28,11 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.llm import simhash
 from tickloom.llm.common import MASKS, SHORT, Words, find_words, mix64, raw_texts, ship, slices, stage, tidied, unstage
 from tickloom.llm.simhash import SEED, components
 
 #: Least similarity of near copies, as a fraction.
 SHARE = (4, 5)
+#: Words of the shingles of a fingerprint, and the most bits in which the fingerprints of candidates differ.
+MARKED, RADIUS = 3, 6
 #: One of SAMPLE texts is looked through for common shingles, those that OFTEN of them have; MOST bounds the list.
 SAMPLE, OFTEN, MOST = 32, 3, 1 << 18
 #: Shingles' hashes fall into 2 ** CELLS cells; how common a cell is decides the order of the shingles in it.
@@ -289,6 +295,22 @@ def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidied(run), "a long, b long")
 
 
+def fingerprint_pairs(docs: DataFrame, sketches: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, size), staged: the pairs that SimHash links. One text, the least node, stands for a fingerprint:
+    BK-trees link fingerprints, and a fingerprint's other texts are paired with that one."""
+    found = simhash.fingerprints(docs.select("text", F.xxhash64("text").alias("node")), MARKED, ("node",)).distinct()
+    marked = stage(found.join(sketches.select("node", "n"), "node").select("fp", "node", "n"), "jaccard-marked")
+    first = stage(marked.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")).select("fp", "f.node", "f.n"), "jaccard-first")
+    one, two = (first.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    near = simhash.links(first.select("fp"), radius).distinct().join(one, "a").join(two, "b")
+    same = marked.join(one, F.col("fp") == F.col("a")).filter("node != node_a").withColumnsRenamed({"node": "node_b", "n": "n_b"})
+    pairs = [x.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), (F.col("n_a") + F.col("n_b")).cast("long").alias("size")) for x in (near, same)]
+    out = stage(pairs[0].unionByName(pairs[1]), "jaccard-near")
+    unstage(marked)
+    unstage(first)
+    return out
+
+
 def settled(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """(a, b), staged: those pairs whose texts are at SHARE. A text is hashed once, however many pairs it is in."""
 
@@ -323,18 +345,23 @@ def near_copies(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), k: int =
     """(text, carried columns) -> (carried columns, node, root); root is the smallest node of the group."""
     ship(docs.sparkSession)
     marked = stage(marks(docs, k, carry), "jaccard")
-    sketches = stage(marked.filter("parities IS NOT NULL").select("node", "parities").dropDuplicates(["node"]), "jaccard-sketches")
+    sketches = stage(marked.filter("parities IS NOT NULL").select("node", "n", "parities").dropDuplicates(["node"]), "jaccard-sketches")
     met = stage(cells(marked), "jaccard-cells")
     members = stage(marked.select(*carry, "node"), "jaccard-members")
     unstage(marked)
-    links, left = None, met.withColumn("root", F.col("node"))
+    near = fingerprint_pairs(docs, sketches)
+    some = stage(alike(near, sketches), "jaccard-some")
+    unstage(near)
+    links = settled(docs, some, k)
+    unstage(some)
+    left = rooted(met, links)
     for turn in range(TURNS):
         some = alike(pairs_of(left, partial(neighbours, turn=turn)), sketches)
         by_hash = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
         some = stage(some.withColumn("_turn", F.row_number().over(by_hash)).filter(F.col("_turn") <= FIRST).select("a", "b"), "jaccard-some")
         found = settled(docs, some, k)
         unstage(some)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         left = rooted(met, links)
     rest = stage(alike(pairs_of(left, all_pairs), sketches), "jaccard-rest")
     unstage(met)
