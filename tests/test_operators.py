@@ -344,3 +344,15 @@ def test_har_and_heavy_values(spark):
     lone = {(r.equation, r.param): r.log_likelihood for r in models.fit_heavy(df, rm_starting=(0.2, 0.2, 0.5), multi_start=False).collect()}
     assert lone["rm", "alpha"] <= max(r.log_likelihood for r in models.fit_heavy(df).collect() if r.equation == "rm") + 1e-6
     assert models.heavy_paths(df.limit(2)).count() == 0
+
+
+def test_symbols_that_tick_at_one_time_refresh_once(spark):
+    """Values of the reference's loop by hand: one row for the tied time, both values from strictly before it, and
+    the next refresh waits for a later tick of each."""
+    at = lambda s: START + timedelta(seconds=s)
+    rows = [("a", at(1), 1, 10.0), ("b", at(2), 2, 20.0), ("a", at(4), 3, 11.0), ("b", at(4), 4, 21.0), ("a", at(5), 5, 12.0), ("b", at(7), 6, 22.0), ("a", at(8), 7, 13.0), ("b", at(9), 8, 23.0)]
+    ticks = spark.createDataFrame([(s, "2024-01-01", t, n, p) for s, t, n, p in rows], tables.TICKS)
+    got = sorted(async_cov.refresh_sync(ticks).collect(), key=lambda r: r.m)
+    hours = [r.t * 3600 for r in got]
+    assert [r.m for r in got] == [0, 1, 2] and np.allclose(np.array(hours) - hours[0], [0, 2, 5], atol=1e-4)
+    assert np.allclose([(r.lp_i, r.lp_j) for r in got], np.log([(10, 20), (10, 20), (12, 21)]))
