@@ -100,3 +100,27 @@ def test_cutting(texts):
     words, units = find_words(texts), find_units(texts)
     assert [words.word(i) for i in range(len(words.starts))] == [w for t in texts for w in t.split()] and words.sizes.tolist() == [len(t.split()) for t in texts]
     assert [units.word(i) for i in range(len(units.starts))] == [u for t in texts for u in t.split(b" ")] and units.sizes.tolist() == [len(t.split(b" ")) for t in texts]
+
+
+TAILS = ["Don't. DON'T.' 's! x's' 'S, A's'B.,", "Élan, ÉLAN!! naïve... ß$$$ Àñ×, ÷. 5% 3.14, ...", "J̌, ǰ. KK. é…. İ. ª. µ, ², x , \u0085! ;;", "<|ENDOFTEXT|> <|endoftext|>. a<|endoftext|>, <|x|>! |> <", "A\x00. \x1cB, b\x7f! _x_ __", "日本。, ДА, да! ΑΣ, İI."]
+
+
+def test_case_and_closing_punctuation_are_worked_on_once(library):
+    made = []
+    encoder = token_files.LibraryEncoder(PATH)
+    memo = WordMemo(lambda ws: (made.extend(ws), encoder.work(ws))[1])
+    token_files.encode([b"Word word, WORD. word!! other"], memo)
+    assert sorted(made) == [b"!!", b",", b".", b"other", b"word"]
+    texts = [t or "" for t in [*ODD, *TAILS]]
+    ids, sizes = token_files.encode([t.encode() for t in texts], memo)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [w + [token_files.END_ID] for w in want_of(library, texts)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aAbZ'stS.,!<|>_5 éÉß×÷̌̇İK²ªµ…"), st.characters(exclude_categories=["Cs"])), max_size=12), max_size=8))
+def test_any_text_has_the_library_ids(library, texts):
+    memo = token_files._memo(PATH)
+    ids, sizes = token_files.encode([t.encode() for t in texts], memo)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+    assert got == [w + [token_files.END_ID] for w in want_of(library, texts)]

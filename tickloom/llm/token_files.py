@@ -12,6 +12,8 @@ their text; null doc_ids come first; very long texts are one row; an empty table
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -22,11 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordMemo, find_words, held, raw_texts, ship, slices, stage, sums, table, tidied
+from tickloom.llm.common import WordMemo, Words, find_words, gather, held, raw_texts, ship, slices, stage, sums, table, tidied
 
 END_ID = 1
 #: Words that the library gets at a time.
 LINE = 200
+#: Words of letters alone, in lower case (a-z and those up to U+00FF).
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+ALNUM, PUNCTUATION = (np.array([chr(i) in x for i in range(256)]) for x in (string.ascii_letters + string.digits, string.punctuation))
 #: Row groups of 16 MB, pages of 64 KB with indexes; ids keep a dictionary, the other columns are delta-encoded.
 LAYOUT = {
     "parquet.block.size": str(16 << 20),
@@ -47,30 +52,85 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
 
     def work(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Words go to the library by the line, which costs it half as much as one by one; its offsets tell
-        which word a token is of."""
-        sizes, values = [], []
-        for at in range(0, len(words), LINE):
-            line = [w.decode("utf-8", "replace") for w in words[at : at + LINE]]
-            found = self.library.encode(" ".join(line), add_special_tokens=False)
-            ends = np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1)
-            offsets = np.fromiter(chain.from_iterable(found.offsets), np.int64)[::2]
-            sizes.append(np.bincount(np.searchsorted(ends, offsets, "right"), minlength=len(line)))
-            values.append(np.array(found.ids, np.int32))
-        return [(np.concatenate(sizes), np.concatenate(values))]
+        """Words go to the library by the line, which costs it half as much as one by one. Words of letters
+        alone have one token with the end-of-word mark each; of others its offsets tell which word a token is of."""
+        plain = np.fromiter((LETTERS(w) is not None for w in words), bool, len(words))
+        sizes, values, rows = [], [], [np.flatnonzero(plain), np.flatnonzero(~plain)]
+        for which, encode_line in zip(rows, (self._letters, self._any)):
+            for at in range(0, len(which), LINE):
+                n, ids = encode_line([words[i] for i in which[at : at + LINE].tolist()])
+                sizes.append(n)
+                values.append(ids)
+        sizes, values, rows = (np.concatenate(x) for x in (sizes, values, rows))
+        back = np.empty(len(rows), np.int64)
+        back[rows] = np.arange(len(rows))
+        values, sizes = gather(np.append(0, np.cumsum(sizes)), values, back)
+        return [(sizes, values)]
+
+    def _letters(self, line: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library.encode_batch_fast([b" ".join(line).decode()], add_special_tokens=False)
+        ids = np.array(found[0].ids, np.int32)
+        sizes = np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+        if len(sizes) != len(line):
+            return self._any(line)
+        return sizes, ids
+
+    def _any(self, line: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        line = [w.decode("utf-8", "replace") for w in line]
+        found = self.library.encode(" ".join(line), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1)
+        offsets = np.fromiter(chain.from_iterable(found.offsets), np.int64)[::2]
+        return np.bincount(np.searchsorted(ends, offsets, "right"), minlength=len(line)), np.array(found.ids, np.int32)
+
+
+def pieces(texts: list[bytes]) -> Words:
+    """Words as the memo takes them: A-Z in lower case, and the ASCII punctuation that follows a word's last
+    letter or digit as a word of its own. The vocabulary's rules give the same ids for them: it lowers letters one
+    by one and parts letters and digits from punctuation. Words of characters past U+00FF (letters may compose)
+    or from U+0080 to U+00BF, and words with ``<|`` (special strings) stay as they are."""
+    words = find_words(texts)
+    flat, starts = np.frombuffer(words.data, np.uint8), words.starts
+    if not len(starts):
+        return words
+    stops = starts + words.lengths
+    odd = np.flatnonzero((flat >= 0xC4) | (flat == 0xC2) | (flat == 60) & (np.append(flat[1:], 0) == 124))
+    data = words.data.lower()
+    asis = np.zeros(len(starts), bool)
+    if len(odd):
+        asis[np.searchsorted(starts, odd, "right") - 1] = True
+        turn = np.zeros(len(flat), np.int8)
+        turn[starts[asis]] = 1
+        turn[stops[asis]] = -1
+        data = np.where(np.cumsum(turn, dtype=np.int8) > 0, flat, np.frombuffer(data, np.uint8)).tobytes()
+    ending = np.flatnonzero(PUNCTUATION[flat[stops - 1]] & ~asis)
+    other = np.flatnonzero(~PUNCTUATION[flat])
+    last = other[np.searchsorted(other, stops[ending]) - 1]
+    before = flat[last]
+    letter = ALNUM[before] | (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7)
+    ok = letter & (last >= starts[ending])
+    ending, last = ending[ok], last[ok]
+    times = np.ones(len(starts), np.int64)
+    times[ending] = 2
+    at = np.cumsum(times) - times
+    starts, stops = np.repeat(starts, times), np.repeat(stops, times)
+    stops[at[ending]] = last + 1
+    starts[at[ending] + 1] = last + 1
+    return Words(data, starts, stops - starts, sums(times, words.sizes))
 
 
 def _memo(path: str) -> WordMemo:
-    """One for each Python worker and vocabulary: the library encodes each word once, since no token of
-    this vocabulary spans white space."""
+    """One for each Python worker and vocabulary: the library encodes each of ``pieces`` once, since no token of
+    this vocabulary spans white space or the end of a word's letters."""
     return held(("library", path), lambda: WordMemo(LibraryEncoder(path).work, limit=1_000_000))
 
 
 def encode(texts: list[bytes], memo: WordMemo) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts with END_ID after each, and how many each text has."""
-    words = find_words(texts)
+    words = pieces(texts)
     slots = memo.slots(words)
     ids, per_word = memo.tables[0].take(slots) if len(slots) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     sizes = sums(per_word, words.sizes)
