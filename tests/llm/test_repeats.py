@@ -142,3 +142,19 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     assert sorted(map(tuple, repeats.op5_repeated_passages(spark, sf).collect()), key=str) == brute(list(zip(docs.doc_id.tolist(), docs.text.tolist())), 200)
+
+
+@pytest.mark.parametrize("bits", [repeats.BITS, 4])
+def test_ranks_where_numbers_share_64_bits_and_where_not(bits, monkeypatch):
+    """Both ways of ranking, on bodies whose places beyond their last window have no rank."""
+    monkeypatch.setattr(repeats, "BITS", bits)
+    rng = random.Random(7)
+    bodies = [bytes(rng.choices(b"ab\x00\xff", k=rng.randint(40, 90))) for _ in range(30)]
+    bodies += [b[3:43] for b in bodies[:9]]
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    first = np.cumsum([0, *map(len, bodies)])
+    starts = np.concatenate([f + np.arange(len(b) - 39) for f, b in zip(first, bodies)])
+    words = [data[s : s + 40].tobytes() for s in starts]
+    order = {w: i for i, w in enumerate(sorted(set(words)))}
+    assert repeats.suffix_ranks(data, starts, 40).tolist() == [order[w] for w in words]
+    assert repeats.ranks_by(1 << bits, np.zeros(0, np.uint64)).tolist() == []

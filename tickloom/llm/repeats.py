@@ -41,7 +41,10 @@ from tickloom.llm.common import raw_texts, ship, slices, stage, table, tidied, u
 
 WIDTH, GRAM, GROUP = 200, 32, 500
 #: Bytes of texts that step 1 works on at a time, and of runs that step 3 sorts at a time.
-CHUNK, SORTED = 1 << 20, 1 << 20
+CHUNK, SORTED = 1 << 20, 1 << 18
+#: Bytes that a suffix's first rank covers, and bits of a place in what is sorted at a time: 8 * FIRST + BITS and
+#: 3 * BITS fit 64 bits.
+FIRST, BITS = 5, 21
 BASE = 0x9E3779B97F4A7C15 | 1
 M64 = (1 << 64) - 1
 
@@ -161,28 +164,40 @@ def runs_of(docs: DataFrame, width: int) -> DataFrame:
     return keyed(docs).mapInArrow(tidied(run), ddl)
 
 
+def ranks_by(size: int, first: np.ndarray, *second: np.ndarray) -> np.ndarray:
+    """Ranks of rows by one column, or by two of ranks below ``size``. Columns and the row's number share 64 bits
+    where they fit, as numbers sort faster than their order is told."""
+    if size > 1 << BITS:
+        for column in second:
+            first = first * np.uint64(size) + column
+        return np.unique(first, return_inverse=True)[1]
+    for column in (*second, np.arange(len(first), dtype=np.uint64)):
+        first = first << np.uint64(BITS) | column
+    first.sort()
+    row = (first & np.uint64((1 << BITS) - 1)).view(np.int64)
+    first >>= np.uint64(BITS)
+    out = np.zeros(len(row), np.uint32)
+    out[row[1:]] = np.cumsum(first[1:] != first[:-1], dtype=np.uint32)
+    return out
+
+
 def suffix_ranks(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Ranks, by their first ``width`` bytes, of the suffixes at ``starts``, which have that many bytes.
-    Ranks of eight bytes are doubled until they cover the width."""
-    size = len(data)
-    padded = np.concatenate([data, np.zeros(width + 8, np.uint8)])
-    rank = np.zeros(size, np.uint64)
-    for j in range(8):
+    Ranks of FIRST bytes are doubled until they cover the width, at the places where a suffix still has as many."""
+    size, rank = len(data), np.zeros(len(data), np.uint64)
+    ends = np.zeros(size, np.int64)
+    ends[starts] = starts + width
+    left = np.maximum.accumulate(ends) - np.arange(size)
+    padded = np.concatenate([data, np.zeros(FIRST, np.uint8)])
+    for j in range(FIRST):
         rank = (rank << np.uint64(8)) | padded[j : j + size]
-    covered = 8
-
-    def named(keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        out = np.empty(len(keys), np.int64)
-        out[order] = np.cumsum(np.append(False, keys[order][1:] != keys[order][:-1]))
-        return out
-
-    ranks = named(rank)
+    covered = FIRST
+    rank = ranks_by(size, rank)
     while covered * 2 < width:
-        after = np.concatenate([ranks[covered:], np.zeros(covered, np.int64)])[:size]
-        ranks = named(ranks * (size + 1) + after)
+        at = np.flatnonzero(left >= covered * 2)
+        rank[at] = ranks_by(size, rank[at].astype(np.uint64), rank[at + covered])
         covered *= 2
-    return named(ranks[starts] * (size + 1) + ranks[starts + (width - covered)])
+    return ranks_by(size, rank[starts].astype(np.uint64), rank[starts + (width - covered)]).astype(np.int64)
 
 
 def previous_factors(ranks: np.ndarray, place: np.ndarray) -> np.ndarray:
