@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import math
+import pathlib
+import urllib.parse
 import weakref
 import zlib
 
@@ -12,6 +14,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tickloom.llm import common, media, pieces, quality, toxicity
 
@@ -372,3 +375,17 @@ def test_a_worker_frees_what_earlier_operators_held():
     assert list(uses([1, 2])) == [1, 2] and two() is not None
     list(common.tidied(lambda batches: iter(batches))([1]))
     assert two() is None
+
+
+def test_staged_tables_are_plain_files_whose_pages_are_verified(spark):
+    staged = common.stage(spark.range(1000).coalesce(1), "plain")
+    folder = pathlib.Path(urllib.parse.urlparse(staged._staged_at).path)
+    (part,) = folder.glob("part-*")
+    # Every file costs a process that sets its mode; one of checksums beside each would be another.
+    assert not [p.name for p in folder.iterdir() if p.name.endswith(".crc")]
+    assert staged.count() == 1000 and staged.agg(F.sum("id")).first()[0] == 499_500
+    data = bytearray(part.read_bytes())
+    data[len(data) // 2] ^= 1
+    part.write_bytes(data)
+    with pytest.raises(Exception, match="CRC checksum verification failed"):
+        staged.agg(F.sum("id")).first()

@@ -21,6 +21,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Whether a finished query's shuffle files go at once; else they wait for the driver's garbage collection.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where the shared folder is a local one, staged tables are written by Hadoop's plain local files: its usual ones keep
+#: a file of checksums beside each, and without its native library every file costs the executor a process (chmod) that
+#: shares all of its memory until it has a program of its own. The pages' checksums stand in for those of the files.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+VERIFIED = {"parquet.page.verify-checksum.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +54,12 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(at)
+        df.write.options(**PLAIN, **options).parquet(at)
     finally:
         spark.conf.set(CLEANUP, before)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    back = spark.read.schema(df.schema).parquet(at)
+    back = spark.read.schema(df.schema).options(**VERIFIED).parquet(at)
     back._staged_at = at
     return back
 
