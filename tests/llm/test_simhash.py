@@ -5,7 +5,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
-from tickloom.llm import simhash
+from tickloom.llm import common, simhash
+from tickloom.llm.common import give_back, stage
 
 
 def plain_fingerprint(text, k=3):
@@ -93,6 +94,30 @@ def test_path_graph(spark):
     assert simhash.components(edges.filter("false")).count() == 0
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    """Links that are stars around their smallest nodes are told as such by one aggregation."""
+    written = []
+    monkeypatch.setattr(simhash, "stage", lambda df, label: written.append(label) or stage(df, label))
+    stars = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") % 7 - 9).alias("b"))
+    found = {r.node: r.root for r in simhash.components(stars).collect()}
+    assert found == {i: i % 7 - 9 for i in range(1, 300)}
+    assert written == ["cc", "cc-hub"]
+    # One link between two stars: a round joins them, and the next aggregation tells that it is done.
+    written.clear()
+    joined = simhash.components(stars.unionByName(spark.createDataFrame([(8, 9)], "a long, b long")))
+    assert {r.node: r.root for r in joined.collect()} == {i: -8 if i % 7 in (1, 2) else i % 7 - 9 for i in range(1, 300)} | {-7: -8}
+    assert len(written) <= 10
+
+
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    assert give_back(spark).startswith("Trim native heap")
+    calls = []
+    monkeypatch.setattr(common, "give_back", calls.append)
+    for _ in range(16):
+        stage(spark.range(1), "few")
+    assert len(calls) == 2
+
+
 def test_texts(spark):
     base = "the quick brown fox jumps over the lazy dog again and again until night falls on the hill"
     texts = [base, base.upper(), base + "\n", None, "", " \t", "two words", "Two  Words", "x", "y" * 200_000, base * 400, "é ü ß", base, base]

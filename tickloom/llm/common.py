@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import itertools
 import os
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,9 +63,36 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     back = spark.read.schema(df.schema).options(**VERIFIED).parquet(at)
     back._staged_at = at
+    if next(_writes) % 8 == 0:
+        give_back(spark)
     return back
 
 
+#: Counts the staged tables: the driver's memory is given back at the first of each eight.
+_writes = itertools.count()
+
+
+def give_back(spark: SparkSession) -> str:
+    """Return to the system what the driver holds for nothing: garbage of its Python and of its JVM, and what the
+    native allocator keeps for each of the JVM's hundreds of threads. The JVM's answer to the last, empty where it
+    knows no such command."""
+    gc.collect()
+    _trim()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        # By reflection: the server's own class is not open to py4j, its interface is.
+        named = jvm.java.lang.Class.forName
+        types = gateway.new_array(jvm.java.lang.Class, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[i] = named(kind)
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return named("javax.management.MBeanServerConnection").getMethod("invoke", types).invoke(server, args)
+    return ""
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -352,26 +352,34 @@ def near_copies(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), k: int =
     near = fingerprint_pairs(docs, sketches)
     some = stage(alike(near, sketches), "jaccard-some")
     unstage(near)
-    links = settled(docs, some, k)
+    roots = roots_of(settled(docs, some, k))
     unstage(some)
-    left = rooted(met, links)
     for turn in range(TURNS):
-        some = alike(pairs_of(left, partial(neighbours, turn=turn)), sketches)
+        some = alike(pairs_of(rooted(met, roots), partial(neighbours, turn=turn)), sketches)
         by_hash = Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b")
         some = stage(some.withColumn("_turn", F.row_number().over(by_hash)).filter(F.col("_turn") <= FIRST).select("a", "b"), "jaccard-some")
-        found = settled(docs, some, k)
+        roots = roots_of(settled(docs, some, k), roots)
         unstage(some)
-        links = links.unionByName(found)
-        left = rooted(met, links)
-    rest = stage(alike(pairs_of(left, all_pairs), sketches), "jaccard-rest")
+    rest = stage(alike(pairs_of(rooted(met, roots), all_pairs), sketches), "jaccard-rest")
     unstage(met)
     unstage(sketches)
-    links = links.unionByName(settled(docs, rest, k))
+    roots = roots_of(settled(docs, rest, k), roots)
     unstage(rest)
-    return rooted(members, links).select(*carry, "node", "root")
+    return rooted(members, roots).select(*carry, "node", "root")
 
 
-def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+def roots_of(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(a, b), staged: linked nodes that are not their group's smallest, and that one. The roots ``before`` stand
+    for all links that led to them, and go then."""
+    found = links if before is None else links.unionByName(before)
+    roots = stage(components(found).select(F.col("node").alias("a"), F.col("root").alias("b")), "jaccard-roots")
+    unstage(links)
+    if before is not None:
+        unstage(before)
+    return roots
+
+
+def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows and root, the smallest node that links reach from theirs."""
-    roots = stage(components(links), "jaccard-roots").select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    roots = roots.select(F.col("a").alias("_node"), F.col("b").alias("_root"))
     return rows.join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "node")).drop("_node", "_root")

@@ -207,21 +207,26 @@ def links(nodes: DataFrame, radius: int, block: int = BLOCK, agree: int | None =
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, root): root is the smallest node that links reach. Alternates large-star
-    and small-star until no edge changes; the number of rounds follows the logarithm of the longest path."""
+    and small-star until the edges are stars around their smallest nodes; the number of rounds follows the
+    logarithm of the longest path."""
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
 
     def star(pairs: DataFrame, least: DataFrame, keep: Column) -> DataFrame:
         """Every u's smallest neighbour, or itself, becomes the hub of those v of u that ``keep`` names."""
         return pairs.join(least, "u").filter(keep).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "cc")
-    before = None
+    # No star around the smallest: a node with two smaller neighbours, or with a smaller and a larger one.
+    smaller, larger = F.count_if(F.col("v") < F.col("u")), F.count_if(F.col("v") > F.col("u"))
+    bent = (smaller > 1) | ((smaller == 1) & (larger > 0))
     while True:
         pairs = both(edges)
-        least = stage(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-hub")
-        large = star(pairs, least, F.col("v") > F.col("u")).filter("a != b").distinct()
-        unstaged = [edges, least]
+        marked = stage(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), bent.alias("bent")), "cc-hub")
+        if marked.filter("bent").isEmpty():
+            unstage(marked)
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        large = star(pairs, marked.select("u", "m"), F.col("v") > F.col("u")).filter("a != b").distinct()
+        unstaged = [edges, marked]
         edges = stage(large, "cc-large")
         for x in unstaged:
             unstage(x)
@@ -232,10 +237,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stage(small.filter("a != b").distinct(), "cc-small")
         for x in unstaged:
             unstage(x)
-        now = edges.agg(F.count("*"), mark).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 2, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

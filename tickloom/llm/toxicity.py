@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WordMemo, Words, find_words, held, raw_texts, ship, slices, table, tidied
+from tickloom.llm.common import WordMemo, Words, find_words, give_back, held, raw_texts, ship, slices, table, tidied
 
 WIDTHS, FILTERS, DIM, BUCKETS = (1, 2, 3), 8, 16, 1 << 18
 TRAIN_PER_CLASS, EPOCHS, BATCH, CUT = 2000, 12, 32, 0.7
@@ -327,6 +327,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score under CUT."""
+    give_back(docs.sparkSession)  # training is what takes most of the driver's Python
     return toxicity(docs, labels).filter(F.col("_score") < CUT).drop("_score")
 
 
